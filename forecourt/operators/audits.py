@@ -38,11 +38,12 @@ def filter_steps(
         .otherwise(0)
     )
     coded = latest.select("price", code.alias("code"))
-    bound = q.bounds(coded.where(F.col("code") == 0), "price", low, high)
-    outside = (F.col("code") == 0) & ~F.col("price").between(bound["low"], bound["high"])
-    final = coded.select(F.when(outside, 5).otherwise(F.col("code")).alias("code"))
-    raw = df.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bounded = coded.withColumn("__bound", q.bounds(coded.where(F.col("code") == 0), "price", low, high))
+    outside = (F.col("code") == 0) & ~F.col("price").between(F.col("__bound.low"), F.col("__bound.high"))
+    final = bounded.select(F.when(outside, 5).otherwise(F.col("code")).alias("code"))
     counts = final.agg(F.count(F.lit(1)).alias("kept"), *[F.count_if(F.col("code") == i).alias(f"s{i}") for i in range(2, 6)])
+    counts = counts.withColumn("raw", df.agg(F.count(F.lit(1)).alias("n")).scalar())
+    raw = F.col("raw")
     removed: list[Column] = [F.lit(0).cast("bigint"), raw - F.col("kept"), *[F.col(f"s{i}") for i in range(2, 6)]]
     rows, left = [], raw
     for i, (label, gone) in enumerate(zip(STEPS, removed)):
@@ -116,12 +117,13 @@ def price_changes(df: DataFrame, key: str = "listing_id", price: str = "price")
 
 def distribution(df: DataFrame, column: str = "price") -> DataFrame:
     """Count, mean, sample deviation, quartiles, and bias-corrected skewness and excess kurtosis."""
-    cuts = q.quantiles(df, [], column, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(F.struct("p25", "p50", "p75").alias("c")).scalar()
+    quartiles = q.quantiles(df, [], column, {"p25": 0.25, "p50": 0.5, "p75": 0.75}).select(F.struct("p25", "p50", "p75").alias("c")).scalar()
     c = F.col(column)
     base = df.agg(
         F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"),
         F.skewness(c).alias("g1"), F.kurtosis(c).alias("g2"),
-    )
+    ).withColumn("c", quartiles)
+    cuts = F.col("c")
     n = F.col("count").cast("double")
     skew = F.when(n > 2, F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2))
     kurt = F.when(n > 3, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6))

@@ -52,8 +52,8 @@ def _with_factor(rows: DataFrame, factors: DataFrame, segment: str) -> DataFrame
         F.col("segment").alias(segment), F.col("n").alias(ROWS), F.col("factor").alias("__own")
     )
     overall = factors.where(F.col("scope") == "global").select("factor").scalar()
-    out = attach(rows, own, [segment])
-    return out.withColumn("__global", F.coalesce(overall, F.lit(1.0))).withColumn("__factor", F.coalesce("__own", "__global")).drop("__own")
+    out = attach(rows, own, [segment]).withColumn("__global", F.coalesce(overall, F.lit(1.0)))
+    return out.withColumn("__factor", F.coalesce("__own", "__global")).drop("__own")
 
 
 def linear_step(df: DataFrame, factors: DataFrame, actual: str = "price", pred: str = "prediction", segment: str = "segment") -> DataFrame:
@@ -71,7 +71,8 @@ def candidate_scores(
 ) -> DataFrame:
     """(candidate, mape, mpe, objective, within_bias, chosen) for the four calibrations, in one aggregate."""
     rows = _with_factor(_valid(df, actual, pred, segment), factors, "segment")
-    line = linear.select(F.struct("slope", "intercept").alias("l")).scalar()
+    rows = rows.withColumn("__line", linear.select(F.struct("slope", "intercept").alias("l")).scalar())
+    line = F.col("__line")
     a, p = F.col("actual"), F.col("pred")
     adjusted = p * F.col("__factor")
     outputs = (
@@ -110,8 +111,9 @@ def fit_calibration(df: DataFrame, actual: str = "price", pred: str = "predictio
     factors = materialize(segment_factors(df, actual, pred, segment))
     linear = materialize(linear_step(df, factors, actual, pred, segment))
     scores = candidate_scores(df, factors, linear, actual, pred, segment)
-    chosen = scores.where("chosen").select("candidate").scalar()
     overall = factors.where(F.col("scope") == "global").select("factor").scalar()
+    linear = linear.withColumns({"__chosen": scores.where("chosen").select("candidate").scalar(), "__overall": overall})
+    chosen, overall = F.col("__chosen"), F.col("__overall")
     is_linear = chosen == CANDIDATES[3]
     line = linear.select(
         F.when(is_linear, F.col("slope")).otherwise(1.0).alias("slope"),
@@ -127,12 +129,13 @@ def apply_calibration(
     df: DataFrame, factors: DataFrame, line: DataFrame, pred: str = "prediction", segment: str = "segment", out: str = "calibrated"
 ) -> DataFrame:
     """slope * (prediction * factor) + intercept, at least 1; segments without a factor use the overall one."""
-    one = line.select(F.struct("slope", "intercept", "use_segments", "global_factor").alias("l")).scalar()
-    keyed = df.withColumn("__segment", F.coalesce(F.col(segment), F.lit(K.UNKNOWN)))
+    settings = line.select(F.struct("slope", "intercept", "use_segments", "global_factor").alias("l")).scalar()
+    one = F.col("__line")
+    keyed = df.withColumn("__line", settings).withColumn("__segment", F.coalesce(F.col(segment), F.lit(K.UNKNOWN)))
     own = factors.where(F.col("scope") == "segment").select(
         F.col("segment").alias("__segment"), F.col("n").alias(ROWS), F.col("factor").alias("__own")
     )
     rows = attach(keyed, own, ["__segment"])
     factor = F.coalesce(F.when(one["use_segments"], F.col("__own")), one["global_factor"])
     value = F.greatest(one["slope"] * (F.col(pred) * factor) + one["intercept"], F.lit(1.0))
-    return rows.withColumn(out, value).drop("__segment", "__own")
+    return rows.withColumn(out, value).drop("__segment", "__own", "__line")

@@ -95,20 +95,22 @@ def flat_lookups(df: DataFrame, table: DataFrame, reg_state: str | None = None)
     return out
 
 
-def bucket_multiplier(value: Column, table: DataFrame, kind: str) -> Column:
-    """First bucket in file order with min <= value < max.
-
-    The handful of buckets is one array from a scalar subquery, so no range join is needed.
-    """
+def bucket_array(table: DataFrame, kind: str) -> Column:
+    """The handful of buckets of one kind as one array, in file order: no range join is needed."""
     rows = _rows(table, kind).where(F.col("min").isNotNull() & F.col("max").isNotNull())
     packed = F.sort_array(F.collect_list(F.struct("position", "min", "max", "multiplier")))
-    buckets = rows.agg(packed.alias("b")).scalar()
-    hit = F.filter(buckets, lambda b: (value >= b["min"]) & (value < b["max"]))
-    return F.get(hit, F.lit(0))["multiplier"]
+    return rows.agg(packed.alias("b")).scalar()
 
 
 def bucket_lookups(df: DataFrame, table: DataFrame) -> DataFrame:
-    return df.withColumns({f"m_{c}": bucket_multiplier(F.col(c), table, kind) for c, kind in BUCKETS.items()})
+    """m_<column>: multiplier of the first bucket in file order with min <= value < max."""
+    out = df.withColumns({f"__{c}": bucket_array(table, kind) for c, kind in BUCKETS.items()})
+
+    def first(c: str) -> Column:
+        value = F.col(c)
+        return F.get(F.filter(f"__{c}", lambda b: (value >= b["min"]) & (value < b["max"])), F.lit(0))["multiplier"]
+
+    return out.withColumns({f"m_{c}": first(c) for c in BUCKETS}).drop(*[f"__{c}" for c in BUCKETS])
 
 
 def composite(

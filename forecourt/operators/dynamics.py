@@ -120,12 +120,13 @@ def apply_pressure(components: DataFrame, fitted: DataFrame) -> DataFrame:
     """Weighted sum of the normalised components; a missing component counts as its low bound."""
     table = fitted.agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("low", "high")))).alias("m")).scalar()
 
-    def normal(name: str) -> Column:
-        low, high = table[name]["low"], table[name]["high"]
-        return F.coalesce(clip((F.col(name) - low) / (high - low), 0.0, 1.0), F.lit(0.0))
+    def normal(name: str) -> str:
+        low, high = f"__t['{name}'].low", f"__t['{name}'].high"
+        return f"coalesce(least(greatest(({name} - {low}) / ({high} - {low}), 0.0D), 1.0D), 0.0D)"
 
-    score = sum(w * normal(c) for w, c in zip(K.PRESSURE_WEIGHTS, K.PRESSURE_COMPONENTS))
-    return components.withColumn("pressure_score", score)
+    # An empty comparison would make greatest() return its bound, so a missing component is tested first.
+    terms = [f"{w}D * CASE WHEN {c} IS NULL THEN 0.0D ELSE {normal(c)} END" for w, c in zip(K.PRESSURE_WEIGHTS, K.PRESSURE_COMPONENTS)]
+    return components.withColumn("__t", table).withColumn("pressure_score", F.expr(" + ".join(terms))).drop("__t")
 
 
 def pressure_score(components: DataFrame) -> DataFrame:

@@ -42,8 +42,8 @@ def price_trim(
 ) -> DataFrame:
     """Keep prices inside two exact quantiles, over all rows or within each source."""
     if not partition_by:
-        bound = q.bounds(df, price, low, high)
-        return df.where(F.col(price).between(bound["low"], bound["high"]))
+        rows = df.withColumn("__bound", q.bounds(df, price, low, high))
+        return rows.where(F.col(price).between(F.col("__bound.low"), F.col("__bound.high"))).drop("__bound")
     on = list(partition_by)
     edges = q.quantiles(df, on, price, {"__lo": low, "__hi": high}).withColumnRenamed(q.TOTAL, ROWS)
     return attach(df, edges, on).where(F.col(price).between(F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")

@@ -52,12 +52,12 @@ def stratified_split(
     strata = snapshots.price_strata(df, price)
     smallest = strata.groupBy("stratum").count().agg(F.min("count").alias("m")).scalar()
     unit = hash_unit(F.col(key), seed).cast("double")
-    rows = strata.withColumn("stratum", F.when(smallest < min_rows, F.lit(0)).otherwise(F.coalesce("stratum", F.lit(0))))
-    rows = rows.withColumn("__u", unit)
+    stratum = F.when(smallest < min_rows, F.lit(0)).otherwise(F.coalesce("stratum", F.lit(0)))
+    rows = strata.withColumns({"stratum": stratum, "__u": unit})
     ranks, upto = {}, 0.0
     for name, share in shares[:-1]:
         upto += share
-        ranks[f"__{name}"] = lambda n, p=upto: F.ceil(n * F.lit(round(p, 9))) - 1
+        ranks[f"__{name}"] = f"ceil(n * {round(upto, 9)!r}D) - 1"
     cuts = q.order_statistics(rows, ["stratum"], "__u", ranks).withColumnRenamed(q.TOTAL, ROWS)
     out = attach(rows, cuts, ["stratum"])
     split: Column | None = None
@@ -73,7 +73,7 @@ def sample_n(df: DataFrame, key: str, n: int, seed: str = "42:") -> DataFrame:
     The n-th smallest hash is found first; the sample is then a plain filter, so it never sits in one task.
     """
     unit = hash_unit(F.col(key), seed).cast("double")
-    cut = q.order_statistics(df, [], unit, {"cut": lambda total: F.least(total, F.lit(n)) - 1}).select("cut").scalar()
+    cut = q.order_statistics(df, [], unit, {"cut": f"least(n, {int(n)}) - 1"}).select("cut").scalar()
     return df.where(unit <= cut)
 
 

@@ -8,92 +8,80 @@ holding each wanted rank is found, and only those few buckets are looked at valu
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from forecourt.functions.numbers import finite
 
 TOTAL = "n"
-_OFFSET = 100_000  # above 64 * 1075, the largest bucket magnitude of a double
-
-
-def bucket(v: Column) -> Column:
-    """Non-decreasing integer code of a double."""
-    size = lambda x: F.floor(F.log2(x) * 64) + _OFFSET
-    return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(F.lit(0)).cast("bigint")
+# Non-decreasing integer code of a double; 100000 is above 64 * 1075, its largest magnitude.
+BUCKET = (
+    "CASE WHEN __v > 0 THEN CAST(floor(log2(__v) * 64) AS BIGINT) + 100000 "
+    "WHEN __v < 0 THEN -CAST(floor(log2(-__v) * 64) AS BIGINT) - 100000 ELSE 0L END AS __b"
+)
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
 def order_statistics(
     df: DataFrame,
     keys: Sequence[str],
     value: Column | str,
-    ranks: Mapping[str, Callable[[Column], Column]],
-    weight: Column | str | None = None,
+    ranks: Mapping[str, str],
     holdout: tuple[str, int] | None = None,
 ) -> DataFrame:
-    """Per key: ``n`` non-missing values, and per name the value at a 0-based rank (a function of n).
+    """Per key: ``n`` non-missing values, and per name the value at a 0-based rank (SQL text over ``n``).
 
-    ``weight`` is an integer multiplicity. Null keys form a group of their own.
-    ``holdout=(fold column, k)`` adds a key column ``hold`` and answers, for each fold, over the
-    rows of all *other* folds. Counts are subtracted per fold, so no row is copied k-1 times.
+    Null keys form a group of their own. ``holdout=(fold column, k)`` adds a key column ``hold``
+    and answers, for each fold, over the rows of all *other* folds. Counts are subtracted per
+    fold, so no row is copied k-1 times.
     """
     keys = list(keys)
-    folds = range(holdout[1]) if holdout else range(0)
-    weight = F.lit(1) if weight is None else F.col(weight) if isinstance(weight, str) else weight
-    columns = [F.col(k) for k in keys]
-    columns += [finite(F.col(value) if isinstance(value, str) else value).alias("__v"), weight.alias("__w")]
+    folds = list(range(holdout[1])) if holdout else []
+    columns = [F.col(k) for k in keys] + [finite(F.col(value) if isinstance(value, str) else value).alias("__v")]
     if holdout:
         columns.append(F.col(holdout[0]).alias("__fold"))
-    in_fold = [F.sum(F.when(F.col("__fold") == j, F.col("__w")).otherwise(0)).alias(f"__f{j}") for j in folds]
+    own = [F.expr(f"count_if(__fold = {j}) AS __f{j}") for j in folds]
     counted = (
-        df.select(*columns).where(F.col("__v").isNotNull()).groupBy(*keys, "__v")
-        .agg(F.sum("__w").alias("__c"), *in_fold).withColumn("__b", bucket(F.col("__v")))
+        df.select(*columns).where("__v IS NOT NULL").groupBy(*keys, "__v")
+        .agg(F.expr("count(1) AS __c"), *own).selectExpr("*", BUCKET)
     )
 
-    buckets = counted.groupBy(*keys, "__b").agg(
-        F.sum("__c").alias("__bc"), *[F.sum(f"__f{j}").alias(f"__f{j}") for j in folds]
-    )
+    sums = [F.expr(f"sum(__f{j}) AS __f{j}") for j in folds]
+    buckets = counted.groupBy(*keys, "__b").agg(F.expr("sum(__c) AS __bc"), *sums)
     groups = list(keys)
     if holdout:
-        others = [F.struct(F.lit(j).alias("hold"), (F.col("__bc") - F.col(f"__f{j}")).alias("c")) for j in folds]
-        buckets = buckets.select(*keys, "__b", F.explode(F.array(*others)).alias("__o")).select(
-            *keys, "__b", F.col("__o.hold").alias("hold"), F.col("__o.c").alias("__bc")
-        ).where(F.col("__bc") > 0)
+        others = ", ".join(f"struct({j} AS hold, __bc - __f{j} AS __bc)" for j in folds)
+        buckets = buckets.selectExpr(*keys, "__b", f"inline(array({others}))").where("__bc > 0")
         groups.append("hold")
 
     # At most one row per bucket and group passes through these windows.
-    group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    upto = group.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (
-        buckets.withColumn("__end", F.sum("__bc").over(upto)).withColumn(TOTAL, F.sum("__bc").over(group))
-        .withColumn("__start", F.col("__end") - F.col("__bc"))
-    )
-    for name, rank in ranks.items():
-        buckets = buckets.withColumn(f"__r_{name}", rank(F.col(TOTAL)).cast("bigint"))
+    part = f"PARTITION BY {', '.join(groups)}" if groups else "PARTITION BY 0"
+    buckets = buckets.selectExpr(
+        *groups, "__b", f"sum(__bc) OVER ({part}) AS {TOTAL}",
+        f"sum(__bc) OVER ({part} ORDER BY __b {UPTO}) AS __end",
+        f"sum(__bc) OVER ({part} ORDER BY __b {UPTO}) - __bc AS __start",
+    ).selectExpr("*", *[f"CAST({rank} AS BIGINT) AS __r_{name}" for name, rank in ranks.items()])
 
-    def holds(start: Column, end: Column) -> dict[str, Column]:
-        return {name: (F.col(f"__r_{name}") >= start) & (F.col(f"__r_{name}") < end) for name in ranks}
+    def holds(low: str, high: str) -> dict[str, str]:
+        return {name: f"(__r_{name} >= {low} AND __r_{name} < {high})" for name in ranks}
 
-    any_of = lambda tests: reduce(lambda a, b: a | b, tests.values())
-    wanted = buckets.where(any_of(holds(F.col("__start"), F.col("__end")))).drop("__bc", "__end")
-    wanted = wanted.withColumnsRenamed({k: f"__k_{k}" for k in keys + ["__b"]})
+    wanted = buckets.where(" OR ".join(holds("__start", "__end").values()))
+    right = [f"{k} AS __k_{k}" for k in [*keys, "__b"]] + (["hold"] if holdout else [])
+    wanted = wanted.selectExpr(*right, TOTAL, "__start", *[f"__r_{name}" for name in ranks])
 
     # Null-safe equality: null keys match, and no filter is inferred that would make the two
     # readings of ``counted`` differ (its exchange is shared).
-    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys + ["__b"]])
-    placed = counted.join(wanted, condition)
-    if holdout:
-        own = F.get(F.array(*[F.col(f"__f{j}") for j in folds]), F.col("hold"))
-        placed = placed.withColumn("__c", F.col("__c") - own).where(F.col("__c") > 0)
-    inside = Window.partitionBy(*groups, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("__to", F.col("__start") + F.sum("__c").over(inside)).withColumn(
-        "__from", F.col("__to") - F.col("__c")
+    placed = counted.join(wanted, F.expr(" AND ".join(f"{k} <=> __k_{k}" for k in [*keys, "__b"])))
+    count = f"(__c - get(array({', '.join(f'__f{j}' for j in folds)}), hold))" if holdout else "__c"
+    inside = f"PARTITION BY {', '.join([*groups, '__b'])} ORDER BY __v {UPTO}"
+    placed = placed.selectExpr(
+        *groups, "__v", TOTAL, f"__start + sum({count}) OVER ({inside}) AS __to",
+        f"__start + sum({count}) OVER ({inside}) - {count} AS __from", *[f"__r_{name}" for name in ranks],
     )
-    hit = holds(F.col("__from"), F.col("__to"))
-    found = [F.max(F.when(test, F.col("__v"))).alias(name) for name, test in hit.items()]
-    return placed.where(any_of(hit)).groupBy(*groups).agg(F.max(TOTAL).alias(TOTAL), *found)
+    hit = holds("__from", "__to")
+    found = [F.expr(f"max(CASE WHEN {test} THEN __v END) AS {name}") for name, test in hit.items()]
+    return placed.where(" OR ".join(hit.values())).groupBy(*groups).agg(F.expr(f"max({TOTAL}) AS {TOTAL}"), *found)
 
 
 def quantiles(
@@ -101,27 +89,21 @@ def quantiles(
     keys: Sequence[str],
     value: Column | str,
     probs: Mapping[str, float],
-    weight: Column | str | None = None,
     holdout: tuple[str, int] | None = None,
 ) -> DataFrame:
     """Per key: ``n`` and linearly interpolated exact quantiles."""
-    ranks: dict[str, Callable[[Column], Column]] = {}
-    for name, p in probs.items():
-        ranks[f"{name}__lo"] = lambda n, p=p: F.floor((n - 1) * F.lit(float(p)))
-        ranks[f"{name}__hi"] = lambda n, p=p: F.ceil((n - 1) * F.lit(float(p)))
-    stats = order_statistics(df, keys, value, ranks, weight, holdout)
-    out = [F.col(k) for k in keys] + ([F.col("hold")] if holdout else []) + [F.col(TOTAL)]
-    for name, p in probs.items():
-        position = (F.col(TOTAL) - 1) * F.lit(float(p))
-        low, high = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        out.append((low + (high - low) * (position - F.floor(position))).alias(name))
-    return stats.select(*out)
+    at = {name: f"({TOTAL} - 1) * {float(p)!r}D" for name, p in probs.items()}
+    ranks = {f"{name}__lo": f"floor({pos})" for name, pos in at.items()}
+    ranks |= {f"{name}__hi": f"ceil({pos})" for name, pos in at.items()}
+    stats = order_statistics(df, keys, value, ranks, holdout)
+    values = [f"{name}__lo + ({name}__hi - {name}__lo) * ({pos} - floor({pos})) AS {name}" for name, pos in at.items()]
+    return stats.selectExpr(*keys, *(["hold"] if holdout else []), TOTAL, *values)
 
 
 def medians(
     df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median", holdout: tuple[str, int] | None = None
 ) -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5}, holdout=holdout)
+    return quantiles(df, keys, value, {name: 0.5}, holdout)
 
 
 def median_scalar(df: DataFrame, value: Column | str) -> Column:
@@ -130,10 +112,13 @@ def median_scalar(df: DataFrame, value: Column | str) -> Column:
 
 def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
     """One row per column name with its quantiles: all columns in one pass."""
-    long = df.select(*[finite(F.col(c)).alias(c) for c in columns]).unpivot([], list(columns), "column", "__x")
+    long = df.selectExpr(*[f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns]).unpivot([], list(columns), "column", "__x")
     return quantiles(long, ["column"], "__x", probs)
 
 
 def bounds(df: DataFrame, value: Column | str, low: float, high: float) -> Column:
-    """struct(low, high) of two global quantiles as a scalar subquery: no join, no collect."""
-    return quantiles(df, [], value, {"low": low, "high": high}).select(F.struct("low", "high").alias("b")).scalar()
+    """struct(low, high) of two global quantiles as a scalar subquery: no join, no collect.
+
+    Put it in a column once and refer to that; every further reference is planned separately.
+    """
+    return quantiles(df, [], value, {"low": low, "high": high}).selectExpr("struct(low, high) AS b").scalar()

@@ -100,11 +100,8 @@ def price_strata(df: DataFrame, price: str = "price", bins: int = 5) -> DataFram
     """Quantile strata of the log price, numbered from 1, right-closed; equal boundaries merge."""
     log = numbers.log_price(F.col(price), plus_one=False)
     names = [f"e{i}" for i in range(1, bins)]
-    cuts = q.quantiles(df, [], log, {n: i / bins for i, n in enumerate(names, 1)})
-    edges = cuts.select(F.array_distinct(F.array(*names)).alias("e")).scalar()
-    above = F.size(F.filter(edges, lambda e: log > e))
-    return df.withColumn("stratum", F.when(log.isNotNull(), above + 1))
-
-
-def first_log_price(price: Column, plus_one: bool = True) -> Column:
-    return F.log1p(price) if plus_one else F.log(price)
+    edges = q.quantiles(df, [], log, {n: i / bins for i, n in enumerate(names, 1)}).select(F.struct(*names).alias("e")).scalar()
+    fresh = {n: "" if i == 0 else f"__e.{n} > __e.{names[i - 1]} AND " for i, n in enumerate(names)}
+    above = " + ".join(f"CASE WHEN {test}__l > __e.{n} THEN 1 ELSE 0 END" for n, test in fresh.items())
+    rows = df.withColumns({"__l": log, "__e": edges})
+    return rows.withColumn("stratum", F.expr(f"CASE WHEN __l IS NOT NULL THEN 1 + {above} END")).drop("__l", "__e")

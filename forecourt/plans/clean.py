@@ -212,7 +212,7 @@ def two_week_features(df: DataFrame, n_variants: int = 20) -> DataFrame:
     rows = C.keep_columns(C.drop_leakage(df).drop("year"), K.TWO_WEEK_KEEP)
     rows = filters.positive_price(rows, "price", ["car_id", "date_posted"])
     top = top_values(rows, "variant", n_variants)
-    rows = group_variants(rows, top, out="variant", keep_unknown=False, other="OTHER").select(*rows.columns)
+    rows = group_variants(rows, top, out="variant", keep_unknown=False, other="OTHER", blank_is_unknown=False).select(*rows.columns)
     numeric = [c for c in ("kms_driven", "ownership", "car_age") if c in rows.columns]
     middle = q.column_quantiles(rows, numeric, {"m": 0.5}).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("m")
