@@ -11,6 +11,7 @@ from forecourt import constants as K
 from forecourt.functions.numbers import hash_fold, hash_unit
 from forecourt.operators import quantiles as q, snapshots
 from forecourt.operators.skew import ROWS, attach
+from forecourt.session import materialize
 
 UNIT = float(2**52)
 
@@ -49,7 +50,7 @@ def stratified_split(
 
     The cut points are order statistics of the key hash per stratum, so no stratum is sorted in one task.
     """
-    strata = snapshots.price_strata(df, price)
+    strata = materialize(snapshots.price_strata(df, price))  # read three times below
     smallest = strata.groupBy("stratum").count().agg(F.min("count").alias("m")).scalar()
     unit = hash_unit(F.col(key), seed).cast("double")
     stratum = F.when(smallest < min_rows, F.lit(0)).otherwise(F.coalesce("stratum", F.lit(0)))
