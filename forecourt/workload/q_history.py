@@ -22,7 +22,7 @@ def _stamp(c="fetched_on"):
 _TS = "strftime(fetched_on, '%Y-%m-%d %H:%M:%S') AS fetched_on"
 
 
-@query("win_first_snapshot", sql(f"""SELECT listing_id, {_TS}, price, row_key FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY fetched_on NULLS LAST, price, row_key) AS rn
+@query("win_first_snapshot", sql(f"""SELECT listing_id, {_TS}, price, row_key FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY fetched_on NULLS LAST, price NULLS FIRST, row_key) AS rn
   FROM tp) WHERE rn = 1 OR listing_id IS NULL""", "tp"))
 def win_first_snapshot(spark, sf):
     rows = clean.parse_raw(V.raw_text(spark, sf)).select("listing_id", "fetched_on", "price", "row_key")
