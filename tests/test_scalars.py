@@ -24,7 +24,7 @@ def test_owners_years_prices(spark):
     assert one(spark, ["3st owner", "second owner", "unknown", None], numbers.parse_ownership) == [3.0, 2.0, None, None]
     assert one(spark, ["2017", "2,017", "2017.0", "n/a", None], numbers.parse_year) == [2017.0, 2017.0, 2017.0, None, None]
     assert one(spark, ["₹ 5,25,000", "1.2.3", ""], numbers.parse_price) == [525000.0, None, None]
-    assert one(spark, ["89,489 km", "78.4k", "2.5 lakh", "km 7", "x"], numbers.parse_number_tokens) == [89489.0, 78400.0, 250000.0, 7.0, None]
+    assert one(spark, ["89,489 km", "78.4k", "2.5lakh", "km 7", "x"], numbers.parse_number_tokens) == [89489.0, 78400.0, 250000.0, 7.0, None]
 
 
 def test_text(spark):
