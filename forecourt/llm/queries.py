@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import chunks, orc, packing, quality, simhash
+from forecourt.llm import chunks, orc, packing, quality, rules, search, simhash
 from forecourt.llm.common import table
 from forecourt.session import scratch_path
 
@@ -28,6 +28,38 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
+i AS (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM i),
+s AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS span FROM g WHERE n > 1),
+r AS (SELECT doc_id, sum(span) AS n_repeat_words FROM s GROUP BY doc_id),
+l AS (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT doc_id, host, text, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+  array_to_string(regexp_extract_all(translate(lower(line), '0123456789', '0000000000'), '[^\x20\x09-\x0D]+'), ' ') AS norm FROM l),
+k AS (SELECT * FROM m WHERE n > 0),
+u AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM k GROUP BY doc_id),
+f AS (SELECT host, norm, count(DISTINCT text) AS texts, min(doc_id) AS first FROM k GROUP BY host, norm),
+h AS (SELECT host, count(DISTINCT text) AS all_texts FROM d GROUP BY host),
+o AS (SELECT host, norm, first FROM f JOIN h USING (host) WHERE texts >= 20 AND texts > 0.1::DOUBLE * all_texts),
+x AS (SELECT doc_id, sum(n) AS removed FROM k JOIN o USING (host, norm) WHERE doc_id <> first GROUP BY doc_id),
+a AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+  (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(removed, 0) AS removed
+  FROM w LEFT JOIN u USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words - removed < 0.3::DOUBLE * n_words) AS kept FROM b
+"""
+
+
+@query("op2_quality_rules", OP2_SQL)
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    judged = rules.judge(table(spark, sf, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), WORD)
@@ -51,6 +83,21 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+OP8_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op8_top_k", OP8_SQL)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = search.integers(table(spark, sf, "embeddings"))
+    return search.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @query("op9_quality")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
