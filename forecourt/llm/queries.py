@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import chunks, orc, packing, quality, rules, search, simhash
+from forecourt.llm import chunks, langid, licenses, orc, packing, quality, rules, search, simhash, urls
 from forecourt.llm.common import table
 from forecourt.session import scratch_path
 
@@ -28,6 +28,59 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def _markov_sql() -> str:
+    """The models of all orders, each over all of its symbol rows."""
+    out = []
+    for k in range(urls.ORDER + 1):
+        out.append(f"g{k} AS (SELECT code % {32 ** (k + 1)} AS gram, sum(n1) AS n1, sum(n0) AS n0 FROM counts GROUP BY 1)")
+        out.append(f"e{k} AS (SELECT r.gram, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM range({32 ** (k + 1)}) r(gram) LEFT JOIN g{k} USING (gram))")
+        if not k:
+            out.append("p0 AS (SELECT gram, (n1 + 0.5::DOUBLE) / (sum(n1) OVER () + 16) AS p1, (n0 + 0.5::DOUBLE) / (sum(n0) OVER () + 16) AS p0 FROM e0)")
+            continue
+        out.append(f"c{k} AS (SELECT gram >> 5 AS context, sum(n1) AS c1, sum(n0) AS c0, count(*) FILTER (n1 > 0) AS t1, count(*) FILTER (n0 > 0) AS t0 FROM g{k} GROUP BY 1)")
+        mix = ", ".join(f"CASE WHEN c{y} >= 2 THEN (e.n{y} + t{y} * q.p{y}) / (c{y} + t{y})::DOUBLE ELSE q.p{y} END AS p{y}" for y in (1, 0))
+        out.append(f"p{k} AS (SELECT e.gram, {mix} FROM e{k} e LEFT JOIN c{k} ON e.gram >> 5 = context JOIN p{k - 1} q ON e.gram % {32**k} = q.gram)")
+    return ",\n".join(out)
+
+
+def _rule_sql(what: str) -> str:
+    cases = []
+    for verdict, rule in sorted(RULES, key=lambda r: -len(r[1])):
+        name, slash, start = rule.partition("/")
+        cases.append(f"WHEN (host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '{slash}{start}') THEN '{rule if what == 'rule' else verdict}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+OP1_SQL = rf"""
+WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LETTERS}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
+d AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS decided, md5(host || path)[1] IN ('0', '1', '2') AS held,
+  regexp_replace(translate(translate(host || path, '{urls.UPPER}', '{urls.LETTERS}'), '0123456789', '0000000000'), '[^a-z0./-]', '_', 'g') AS s FROM b),
+i AS (SELECT page_id, decided, held, s, unnest(range(1, length(s) + 1)) AS i FROM d),
+y AS (SELECT page_id, decided, held, i, instr('{urls.LETTERS}0.-/_', s[i]) AS v FROM i),
+c AS (SELECT *, v + 32 * coalesce(lag(v, 1) OVER w, 0) + 1024 * coalesce(lag(v, 2) OVER w, 0) + 32768 * coalesce(lag(v, 3) OVER w, 0) AS code
+  FROM y WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+counts AS (SELECT code, count(*) FILTER (decided = 'allow') AS n1, count(*) FILTER (decided = 'block') AS n0 FROM c WHERE decided IS NOT NULL AND NOT held GROUP BY code),
+{_markov_sql()},
+z AS (SELECT page_id, sum(ln(p1) - ln(p0)) / count(*) AS score FROM c JOIN p3 ON code = gram GROUP BY page_id),
+h AS (SELECT greatest(least(floor(coalesce(score, 0) * 100), 3000), -3000)::BIGINT AS step, count(*) FILTER (decided = 'allow') AS n1, count(*) FILTER (decided = 'block') AS n0
+  FROM d LEFT JOIN z USING (page_id) WHERE decided IS NOT NULL AND held GROUP BY 1),
+m AS (SELECT step, coalesce(sum(n1) OVER p, 0) AS lost, coalesce(sum(n0) OVER p, 0) AS caught, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0
+  FROM h WINDOW p AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT coalesce((SELECT step / 100.0::DOUBLE FROM m WHERE t1 > 0 AND t0 > 0 ORDER BY caught * t1 - lost * t0 DESC, step LIMIT 1), 0.0::DOUBLE) AS least)
+SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN coalesce(score, 0) >= (SELECT least FROM t) THEN 'allow' ELSE 'block' END) AS verdict
+FROM d LEFT JOIN z USING (page_id)
+"""
+
+
+@query("op1_url_filter", OP1_SQL)
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return urls.judge(table(spark, sf, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -60,6 +113,34 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def _notices_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(licenses.NOTICES))
+    return f"(VALUES {rows}) n(template, license, text)"
+
+
+_FIVE = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(5))
+_WORDS = r"regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), '[^ ]+')"
+
+#: Every window against every template, without bands.
+OP3_SQL = f"""
+WITH t AS (SELECT template, license, {_WORDS} AS w FROM {_notices_sql()}),
+u AS (SELECT template, license, w, unnest(range(1, len(w) - 3)) AS i FROM t),
+s AS (SELECT DISTINCT template, license, {_FIVE} AS shingle FROM u),
+z AS (SELECT template, count(*) AS n, (2 ** ceil(log2(count(*))))::BIGINT AS s FROM s GROUP BY template),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+e AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1))) AS i FROM d),
+p AS (SELECT doc_id, i - 1 AS pos, {_FIVE} AS shingle FROM e),
+m AS (SELECT doc_id, template, license, n, pos, shingle, unnest([pos // s, pos // s - 1]) AS j FROM p JOIN s USING (shingle) JOIN z USING (template)),
+c AS (SELECT doc_id, license, count(DISTINCT shingle) / n::DOUBLE AS containment, min(pos) AS first_word FROM m WHERE j >= 0 GROUP BY doc_id, license, template, n, j)
+SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word FROM c WHERE containment >= 0.8::DOUBLE GROUP BY doc_id, license
+"""
+
+
+@query("op3_license_scan", OP3_SQL)
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
 @query("op4_packing")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), WORD)
@@ -103,3 +184,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     scored = quality.score(docs, quality.fit(docs, table(spark, sf, "labels")))
     return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return langid.identify(table(spark, sf, "pages"), langid.fit(table(spark, sf, "documents")))
