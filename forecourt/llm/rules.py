@@ -98,5 +98,6 @@ def judge(docs: DataFrame, host: str = "source", share: float = SHARE, least: in
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     gone = judge(docs, host).where("NOT kept").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct()
+    gone = written(gone, "rejected")  # so that its size is known when the join is planned
     same = docs["doc_id"].eqNullSafe(gone["__d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["__t"])
     return docs.join(gone, same, "left_anti")

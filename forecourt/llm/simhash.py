@@ -101,3 +101,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     component = roots.join(smallest, "root").select("fp", "component")
     named = nodes.join(component, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns."""
+    found = near_duplicates(docs, shingle, radius)
+    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct(), "copies")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti")
