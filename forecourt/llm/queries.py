@@ -68,9 +68,9 @@ counts AS (SELECT code, count(*) FILTER (decided = 'allow') AS n1, count(*) FILT
 z AS (SELECT page_id, sum(ln(p1) - ln(p0)) / count(*) AS score FROM c JOIN p3 ON code = gram GROUP BY page_id),
 h AS (SELECT greatest(least(floor(coalesce(score, 0) * 100), 3000), -3000)::BIGINT AS step, count(*) FILTER (decided = 'allow') AS n1, count(*) FILTER (decided = 'block') AS n0
   FROM d LEFT JOIN z USING (page_id) WHERE decided IS NOT NULL AND held GROUP BY 1),
-m AS (SELECT step, coalesce(sum(n1) OVER p, 0) AS lost, coalesce(sum(n0) OVER p, 0) AS caught, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0
+m AS (SELECT step, (coalesce(lag(step) OVER (ORDER BY step) + 1, step) + step) / 200.0::DOUBLE AS middle, coalesce(sum(n1) OVER p, 0) AS lost, coalesce(sum(n0) OVER p, 0) AS caught, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0
   FROM h WINDOW p AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT coalesce((SELECT step / 100.0::DOUBLE FROM m WHERE t1 > 0 AND t0 > 0 ORDER BY caught * t1 - lost * t0 DESC, step LIMIT 1), 0.0::DOUBLE) AS least)
+t AS (SELECT coalesce((SELECT middle FROM m WHERE t1 > 0 AND t0 > 0 ORDER BY caught * t1 - lost * t0 DESC, step LIMIT 1), 0.0::DOUBLE) AS least)
 SELECT page_id, host, path, rule, coalesce(decided, CASE WHEN coalesce(score, 0) >= (SELECT least FROM t) THEN 'allow' ELSE 'block' END) AS verdict
 FROM d LEFT JOIN z USING (page_id)
 """

@@ -99,7 +99,8 @@ def search_block(q_id, q, floor, c_id, c, rotation: np.ndarray, k: int, same: bo
     qr, cr = q.astype(np.float64) @ rotation, c.astype(np.float64) @ rotation
     own = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
     q_rest, c_rest = (np.sqrt((x[:, lead:] ** 2).sum(axis=1)) for x in (qr, cr))
-    need = floor.astype(np.float64)
+    least = floor.copy()  # exact; ``need`` is for the bounds, which know no clipping
+    need = np.where(least > -(2**63), least.astype(np.float64), -np.inf)
     best = [np.zeros(0, np.int64)] * 3
     for at in range(0, len(c), STEP):
         slack = 1.0 + 1e-9 * own * length[at]
@@ -114,14 +115,15 @@ def search_block(q_id, q, floor, c_id, c, rotation: np.ndarray, k: int, same: bo
         else:
             score = _pairs(q[live], c[part], i, j)
         i, vec = live[i], c_id[part][j]
-        kept = score >= need[i]
+        kept = score >= least[i]
         if same:
             kept &= vec != q_id[i]
         best = _best(k, [np.concatenate([a, b[kept]]) for a, b in zip(best, (i, vec, score))])
         count = np.bincount(best[0], minlength=len(q))
         full = np.flatnonzero(count >= k)
         last = np.cumsum(count) - 1
-        need[full] = np.maximum(need[full], best[2][last[full]])
+        least[full] = np.maximum(least[full], best[2][last[full]])
+        need = np.where(least > -(2**63), least.astype(np.float64), -np.inf)
     return best[0], best[1], best[2]
 
 

@@ -8,7 +8,8 @@ single symbols. What the models know fits 32^4 numbers, whatever the input: the
 the ratio of both probabilities for each four symbols. That table is broadcast (its size is
 fixed), and only one sum per URL is shuffled. The score is the mean over a URL's symbols. The
 threshold has the best balanced accuracy on decided URLs that were kept from training (3 of
-16, by hash), on a grid of hundredths; ties go to the smallest.
+16, by hash), on a grid of hundredths: halfway between two neighbouring steps seen, the
+lowest such gap if several are as good.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and scores 0.
 Without decided URLs of both classes the models say 0 for everything and the threshold is 0:
@@ -78,7 +79,7 @@ def coded(d: DataFrame) -> DataFrame:
 def log_ratios(d: DataFrame) -> DataFrame:
     """(code, llr) of every four symbols: 32^4 rows, from counts over all training URLs."""
     seen = d.where("decided IS NOT NULL AND NOT held").select((F.col("decided") == "allow").alias("y"), F.explode("codes").alias("code"))
-    counts = seen.groupBy("code").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"))
+    counts = written(seen.groupBy("code").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")), "symbols")  # 32^4 rows at most
     spark = d.sparkSession
     probs = None
     for order in range(ORDER + 1):
@@ -115,12 +116,13 @@ def threshold(d: DataFrame) -> DataFrame:
     steps = known.groupBy("step").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0"))  # 6001 rows at most
     upto = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy()
+    before = F.lag("step").over(Window.orderBy("step"))
     rated = steps.select(
-        "step", F.coalesce(F.sum("n1").over(upto), F.lit(0)).alias("lost"), F.coalesce(F.sum("n0").over(upto), F.lit(0)).alias("caught"),
+        "step", ((F.coalesce(before + 1, F.col("step")) + F.col("step")) / (2 * GRID)).alias("middle"), F.coalesce(F.sum("n1").over(upto), F.lit(0)).alias("lost"), F.coalesce(F.sum("n0").over(upto), F.lit(0)).alias("caught"),
         F.sum("n1").over(whole).alias("t1"), F.sum("n0").over(whole).alias("t0"),
     ).where("t1 > 0 AND t0 > 0")
     merit = F.col("caught") * F.col("t1") - F.col("lost") * F.col("t0")  # balanced accuracy, in integers
-    return rated.agg(F.coalesce(F.max_by("step", F.struct(merit, -F.col("step"))) / GRID, F.lit(0.0)).alias("least"))
+    return rated.agg(F.coalesce(F.max_by("middle", F.struct(merit, -F.col("step"))), F.lit(0.0)).alias("least"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
