@@ -6,14 +6,17 @@ from pyspark.sql import Column, functions as F
 
 from forecourt import constants as K
 
+WHITE = " \t\n\x0b\f\r"  # what \s stands for
+
 
 def squeeze(c: Column) -> Column:
-    """Strip and collapse every run of whitespace to one space."""
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    """Strip and collapse every run of whitespace to one space; only texts with a run meet a regular expression."""
+    plain = F.translate(c, WHITE, " " * len(WHITE))
+    return F.trim(F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank_to_null(c: Column) -> Column:

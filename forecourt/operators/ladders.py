@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from forecourt import constants as K
 from forecourt.functions.text import squeeze
-from forecourt.trims import parse_ladders
+from forecourt.trims import LADDERS, Pattern
 
 DEFAULT_SCORE = 3
 _SPECIAL = re.compile(r"([^A-Za-z0-9_])")
@@ -17,8 +17,8 @@ _SPECIAL = re.compile(r"([^A-Za-z0-9_])")
 
 def token_regex(token: str) -> str:
     """Whole-word pattern of a token: spaces match any whitespace; a final '+' must not run into a word."""
-    if token.startswith("REGEX:"):
-        return token[len("REGEX:"):]
+    if isinstance(token, Pattern):
+        return str(token)
     plus = token.endswith("+")
     words = token.rstrip("+").split() if plus else token.split()
     body = r"\s+".join(_SPECIAL.sub(r"\\\1", w) for w in words)
@@ -48,7 +48,7 @@ def ladder_rules(spark: SparkSession, ladders: Mapping[str, Mapping[str, Sequenc
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return ladder_rules(spark, parse_ladders())
+    return ladder_rules(spark, LADDERS)
 
 
 def _score(text: Column, ladder: Column) -> Column:

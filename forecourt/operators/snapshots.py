@@ -33,10 +33,16 @@ def _pick(df: DataFrame, keys: Sequence[str], ts: str, ties: Sequence[str], last
 def first_snapshot(
     df: DataFrame, key: str = "listing_id", ts: str = "fetched_on", ties: Sequence[str] = (), keep_blank: bool = True
 ) -> DataFrame:
-    """Earliest row per listing; rows with a blank ID are all kept unless told otherwise."""
+    """Earliest row per listing; rows with a blank ID are all kept, as they are, unless told otherwise.
+
+    One pass over the input: a blank ID is a key of its own, numbered by row.
+    """
     clean = blank_to_null(F.col(key))
-    with_id = _pick(df.where(clean.isNotNull()).withColumn(key, clean), [key], ts, ties, last=False)
-    return with_id.unionByName(df.where(clean.isNull())) if keep_blank else with_id
+    if not keep_blank:
+        return _pick(df.where(clean.isNotNull()).withColumn(key, clean), [key], ts, ties, last=False)
+    number = F.when(clean.isNull(), F.monotonically_increasing_id())
+    rows = df.withColumns({"__id": clean, "__blank": number, key: F.coalesce(clean, F.col(key))})
+    return _pick(rows, ["__id", "__blank"], ts, ties, last=False).drop("__id", "__blank")
 
 
 def last_snapshot(df: DataFrame, key: str = "listing_id", ts: str = "fetched_on", ties: Sequence[str] = ()) -> DataFrame:
@@ -61,10 +67,14 @@ def first_recent(
 
 
 def with_listing_id(df: DataFrame, unique: Column | None = None, key: str = "listing_id") -> DataFrame:
-    """Give rows with a blank ID one of their own, from a unique column or a hash of the row."""
+    """Give rows with a blank ID one of their own, from a unique column or else from the row's place in its source.
+
+    Without ``unique``, equal rows stay different listings; the numbers hold for one reading of
+    the source, so materialise the result where it is used more than once.
+    """
     if key not in df.columns:
         df = df.withColumn(key, F.lit(None).cast("string"))
-    unique = F.xxhash64(*df.columns) if unique is None else unique
+    unique = F.monotonically_increasing_id() if unique is None else unique
     own = F.concat(F.lit("row_"), unique.cast("string"))
     return df.withColumn(key, F.coalesce(blank_to_null(F.col(key).cast("string")), own))
 

@@ -31,13 +31,15 @@ def local_session(cores: str = "8", app: str = "forecourt") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a private one only where unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Only a local master may leave it unset: one machine runs all."""
     named = spark.conf.get(CHECKPOINT, None) or spark.sparkContext.getConf().get(CHECKPOINT, None)
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError(f"{CHECKPOINT} must name a folder that all executors share")
     return os.path.join(tempfile.gettempdir(), "forecourt-checkpoints")
 
 

@@ -22,13 +22,15 @@ def read_table(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 
 
 def list_sources(spark: SparkSession, folder: str, patterns: Sequence[str] = K.SOURCE_GLOBS) -> list[str]:
-    """Source files in a folder, one per stem: Parquet is preferred over CSV.
+    """Sources in a folder, one per stem: Parquet is preferred over CSV.
 
-    The listing reads names only, through the file source, so any Hadoop file system works.
+    A source is a direct child with a known extension: a file, or a directory of part files.
+    Only names are read, through Hadoop, so any file system works.
     """
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(f"{folder.rstrip('/')}/*.*").select("path")
-    paths = [r.path for r in found.collect()]
-    return prefer(p for p in paths if any(fnmatch.fnmatch(p.rsplit("/", 1)[-1], g) for g in patterns))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    children = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)
+    names = [child.getPath().getName() for child in children]
+    return prefer(f"{folder.rstrip('/')}/{n}" for n in names if any(fnmatch.fnmatch(n, g) for g in patterns))
 
 
 def prefer(paths) -> list[str]:
@@ -48,9 +50,12 @@ def read_sources(spark: SparkSession, folder: str, patterns: Sequence[str] = K.S
     paths = list_sources(spark, folder, patterns)
     if not paths:
         raise FileNotFoundError(f"no source files in {folder}")
-    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
-    # Headers may differ from file to file, so each file is its own branch of the union.
-    return union_sources(read_table(spark, p).withColumn("source", stem) for p in paths)
+    # Headers may differ from source to source, so each is its own branch of the union.
+    return union_sources(read_table(spark, p).withColumn("source", F.lit(stem(p))) for p in paths)
+
+
+def stem(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[0]
 
 
 def union_sources(frames) -> DataFrame:

@@ -208,15 +208,13 @@ def agg_levels(spark, sf):
     return schema.levels(V.listings(spark, sf), _CAT)
 
 
-_TRAIN = "l WHERE fetched_on < TIMESTAMP '1996-06-01' AND make <> 'Brand#7' AND city <> 'NATION_3'"
+_TRAIN = "l WHERE make <> 'Brand#7' AND city <> 'NATION_3'"
 _APPLY_CATS = {"make": "make", "fuel": "fuel", "city": "city", "variant": "variant"}
 
 
 def _train_rows(spark, sf):
-    from forecourt.functions.dates import literal_ts
-
     rows = V.listing_features(spark, sf)
-    return rows.where((F.col("fetched_on") < literal_ts("1996-06-01 00:00:00")) & (F.col("make") != "Brand#7") & (F.col("city") != "NATION_3"))
+    return rows.where((F.col("make") != "Brand#7") & (F.col("city") != "NATION_3"))
 
 
 _FIT = {"tr": f"SELECT * FROM {_TRAIN.replace('l WHERE', 'lf WHERE')}"}

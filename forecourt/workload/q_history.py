@@ -201,9 +201,9 @@ def pip_two_week_baseline(spark, sf):
 
 
 def _runtime_sql() -> str:
-    from forecourt.workload.registry import s_gear, s_map, s_state, s_strip, GEAR  # noqa: F401
+    from forecourt.workload.registry import s_gear, s_map, s_state, s_strip  # noqa: F401
 
-    return sql(f"""SELECT row_key, listing_id, make0 AS make, model0 AS model, variant0 AS variant, coalesce({s_map(s_strip('transmission0'), GEAR)}, transmission0) AS transmission,
+    return sql(f"""SELECT row_key, listing_id, make0 AS make, model0 AS model, variant0 AS variant, coalesce({s_map(s_strip('transmission0'), K.TRANSMISSION_CODES)}, transmission0) AS transmission,
       fuel0 AS fuel, body0 AS body_type, city0 AS city, year, kms, ownership, price, {s_state('registration')} AS reg_state FROM tp""", "tp")
 
 

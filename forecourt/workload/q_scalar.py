@@ -12,16 +12,25 @@ from forecourt.session import scratch_path
 from forecourt.sources import readers, sinks
 from forecourt.workload import views as V
 from forecourt.workload.registry import (
-    CTES, FUEL, query, r, rnd, rs, s_age_bucket, s_band, s_blank, s_body, s_city, s_days, s_fuel, s_gear, s_kms, s_name, s_norm,
+    CTES, query, r, rnd, rs, s_age_bucket, s_band, s_blank, s_body, s_city, s_days, s_fuel, s_gear, s_kms, s_name, s_norm,
     s_normstate, s_owner, s_owner_word, s_price, s_squeeze, s_state, s_strip, s_title, s_year, sql,
 )
 
 # --- sources and sinks -----------------------------------------------------------------------
 
 
-@query("src_read_listings", "SELECT l_returnflag AS fuel, count(*) AS n, " + r("sum(l_extendedprice)", 2) + " AS total FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
+@query("src_read_listings", "SELECT l_returnflag AS fuel, count(*) AS n, " + r("sum(l_extendedprice)", 2) + " AS total FROM lineitem GROUP BY 1")
 def src_read_listings(spark, sf):
-    rows = readers.read_table(spark, f"{sf}/lineitem.parquet").where(F.col("l_shipdate") >= dates.literal_ts("1998-01-01 00:00:00"))
+    return _by_fuel(readers.read_table(spark, f"{sf}/lineitem.parquet"))
+
+
+@query("src_read_recent", "SELECT l_returnflag AS fuel, count(*) AS n, " + r("sum(l_extendedprice)", 2) + " AS total FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
+def src_read_recent(spark, sf):
+    """The filter reaches the scan."""
+    return _by_fuel(readers.read_table(spark, f"{sf}/lineitem.parquet").where(F.col("l_shipdate") >= dates.literal_ts("1998-01-01 00:00:00")))
+
+
+def _by_fuel(rows):
     return rows.groupBy(F.col("l_returnflag").alias("fuel")).agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_extendedprice"), 2).alias("total"))
 
 
@@ -34,6 +43,18 @@ def _sources(spark, sf):
 _SOURCES = {"u": "SELECT 'portal_a' AS source, listing_id, price, city, NULL::VARCHAR AS fuel FROM l UNION ALL SELECT 'portal_b', listing_id, price, NULL, fuel FROM h"}
 
 
+@query("src_read_sources", sql("SELECT source, count(*) AS n, count(city) AS cities, count(fuel) AS fuels, " + r("sum(price)", 2) + " AS total FROM u GROUP BY 1", "l", "h", extra=_SOURCES))
+def src_read_sources(spark, sf):
+    """Two sources written as Spark writes them, one Parquet and one CSV directory, found by name and read back."""
+    folder = scratch_path(spark, "sources")
+    V.listings(spark, sf).select("listing_id", "price", "city").write.parquet(f"{folder}/portal_a.parquet")
+    V.history(spark, sf).select("listing_id", "price", "fuel").write.option("header", True).csv(f"{folder}/portal_b.csv")
+    rows = readers.read_sources(spark, folder, ["portal_*"])
+    return rows.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count("city").alias("cities"), F.count("fuel").alias("fuels"), rnd(F.sum(F.col("price").cast("double")), 2).alias("total")
+    )
+
+
 @query("src_union_sources", sql("SELECT * FROM u", "l", "h", extra=_SOURCES))
 def src_union_sources(spark, sf):
     return _sources(spark, sf)

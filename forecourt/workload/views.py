@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from forecourt.operators import demand, dynamics, snapshots
 from forecourt.plans import clean
+from forecourt.trims import Pattern
 
 REF = "2001-12-31 00:00:00"
 MIN_YEAR = 1985
@@ -197,7 +198,7 @@ def multipliers(spark: SparkSession, sf: str) -> DataFrame:
 
 WORD_LADDERS = {
     "model": {
-        "Brand#1 | Brand#1 SMALL": [[r"REGEX:\bold\b"], [r"REGEX:^small\b"], [r"REGEX:\bwidget\b", r"REGEX:\bring\b"]],
+        "Brand#1 | Brand#1 SMALL": [[Pattern(r"\bold\b")], [Pattern(r"^small\b")], [Pattern(r"\bwidget\b"), Pattern(r"\bring\b")]],
         "Brand#2 | Brand#2 PROMO": [["OLD", "COLD"], ["HOT"], ["RED", "BLUE"], ["LARGE", "GIZMO"]],
         "Brand#3 | Brand#3 LARGE": [["BOLT"], ["ROD", "PLATE"]],
     },

@@ -140,7 +140,7 @@ def test_trim_ladder_examples(spark):
         ("Maruti Suzuki | Swift", "ZXI+", 1.07), ("Nobody | Thing", "plain", 1.00), ("Tata | Nexon", "XZ base", 0.94),
     ]
     df = spark.createDataFrame(rows, "parent string, name string, want double")
-    out = ladders.variant_multipliers(df, ladders.default_rules(spark), trims.parse_tiers())
+    out = ladders.variant_multipliers(df, ladders.default_rules(spark), trims.TOKEN_TIERS)
     assert all(r.multiplier == r.want for r in out.collect())
 
 

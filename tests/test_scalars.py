@@ -6,7 +6,7 @@ from forecourt.functions import bands, numbers, text
 from forecourt.operators.ladders import token_regex
 from forecourt.sources.readers import prefer
 from forecourt.sources.sinks import predictions_path
-from forecourt.trims import parse_ladders, parse_tiers
+from forecourt import trims
 
 
 def one(spark, values, expr, kind="string"):
@@ -44,9 +44,9 @@ def test_bands(spark):
 
 
 def test_trim_tables():
-    ladders = parse_ladders()
+    ladders = trims.LADDERS
     assert len(ladders["brand"]) == 12 and len(ladders["model"]) == 37
-    assert {t: len(v) for t, v in parse_tiers().items()} == {5: 44, 4: 26, 2: 8, 1: 10}
+    assert {t: len(v) for t, v in trims.TOKEN_TIERS.items()} == {5: 44, 4: 26, 2: 8, 1: 10}
     assert token_regex("ZXI+") == r"\bZXI\+(?!\w)" and token_regex("SX O") == r"\bSX\s+O\b"
 
 
