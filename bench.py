@@ -41,10 +41,10 @@ def duckdb_seconds(sql: str, sf: str, threads: int) -> float | None:
 def price_model(spark, sf: str) -> dict[str, float]:
     """Fit time of the price model and its hold-out MAPE."""
     from forecourt.operators import metrics
-    from forecourt.workload import catalogue
+    from forecourt.workload import q_models
 
     start = time.perf_counter()
-    rows = catalogue.queries()["mdl_gbt_price"](spark, sf)
+    rows = q_models.priced_holdout(spark, sf)
     mape = metrics.regression_metrics(rows).first()["mape"]
     return {"seconds": round(time.perf_counter() - start, 3), "holdout_mape": round(mape, 4)}
 

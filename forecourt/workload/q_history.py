@@ -141,13 +141,18 @@ _SAME = "listing_id IN (SELECT listing_id FROM c GROUP BY 1 HAVING count(DISTINC
 _NUM = "car_age kms_per_year log_kms age_x_ownership kms_x_ownership"
 
 
+#: The rows that load_and_clean keeps, as "b".
+LOADED = {
+    "c": _clean_sql(False),
+    "d": f"SELECT *, coalesce({s_days('fetched_on', 'min(fetched_on) OVER (PARTITION BY listing_id)')}, 0.0) AS days_on_market FROM c",
+    "k": f"SELECT * FROM d WHERE {_SAME} AND price IS NOT NULL AND year >= 1985 AND year <= coalesce(year(fetched_on), 2001) AND kms BETWEEN 0 AND 400000",
+    "b": "SELECT k.* FROM k, (SELECT quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM k) WHERE price BETWEEN lo AND hi",
+}
+
+
 @query("pip_load_and_clean", sql(
-    f"""SELECT listing_id, {_TS}, {_NAMES.replace(' ', ', ')}, year, kms, ownership, price, {rs(_NUM)}, fetch_month, market_days, days_on_market, make AS brand
-    FROM k, (SELECT quantile_cont(price, 0.01) AS lo, quantile_cont(price, 0.99) AS hi FROM k) WHERE price BETWEEN lo AND hi""", "tp", extra={
-        "c": _clean_sql(False),
-        "d": f"SELECT *, coalesce({s_days('fetched_on', 'min(fetched_on) OVER (PARTITION BY listing_id)')}, 0.0) AS days_on_market FROM c",
-        "k": f"SELECT * FROM d WHERE {_SAME} AND price IS NOT NULL AND year >= 1985 AND year <= coalesce(year(fetched_on), 2001) AND kms BETWEEN 0 AND 400000",
-    }))
+    f"""SELECT listing_id, {_TS}, {_NAMES.replace(' ', ', ')}, year, kms, ownership, price, {rs(_NUM)}, fetch_month, market_days, days_on_market, make AS brand FROM b""",
+    "tp", extra=LOADED))
 def pip_load_and_clean(spark, sf):
     out = clean.load_and_clean(V.raw_text(spark, sf), V.REF, V.MIN_YEAR)
     return rounded(out.withColumn("fetched_on", _stamp()), _NUM.split())
