@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import regex
 import tiktoken
@@ -126,11 +126,7 @@ class WordBpe:
     """BPE with word ends: lower case, white space dropped, as in word_bpe_49k.json."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model, to_byte = spec["model"], byte_characters()
@@ -154,6 +150,16 @@ class WordBpe:
         self.stops = {c: self._merged(c) for c in ".,"}
         self.pieces = _Pieces(self._word)
 
+    @cached_property
+    def library(self):
+        """The tokenizers library's own object; most tasks never need it."""
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
+
     def _word(self, word: str) -> bytes:
         if latin(word):
             return self._merged(word.lower())
