@@ -99,7 +99,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     member = roots.join(nodes, "fp")
     smallest = member.groupBy("root").agg(F.min("first").alias("component"))
     component = roots.join(smallest, "root").select("fp", "component")
-    named = nodes.join(component, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    # Written, so that the last join is one of two plain shuffles, of which Spark splits large partitions.
+    named = written(nodes.join(component, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id")), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
