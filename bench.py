@@ -17,7 +17,7 @@ HEADLINE = (
 )
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 RUNS = 3
-LIMIT_S = float(os.environ.get("BENCH_LIMIT_S", "600"))  # after that, what is left is timed once
+LIMIT_S = float(os.environ.get("BENCH_LIMIT_S", "400"))  # after that, what is left is timed once
 
 
 def duckdb_seconds(sql: str, sf: str, threads: int) -> float | None:
