@@ -47,15 +47,16 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long; if ``hashed``, (doc_id, text_hash, fp)."""
+    keys = ["doc_id", "text_hash"] if hashed else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(found)], names=[*keys, "fp"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
+    return map_arrow(keyed(docs).select(*keys, "text"), run, ", ".join(f"{c} long" for c in [*keys, "fp"]))
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -105,7 +106,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
 
 
 def keep(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` that have the smallest doc_id of their component, with all their columns."""
-    found = near_duplicates(docs, shingle, radius)
-    gone = written(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__d")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__d"]), "left_anti")
+    """One row of ``docs`` for each component (see ``first_rows``), with all its columns."""
+    marked = written(fingerprints(docs, shingle, hashed=True).withColumnRenamed("fp", "node"), "fingerprints")
+    nodes = written(marked.select(F.col("node").alias("fp")).distinct(), "nodes")
+    return first_rows(docs, marked, components(links(nodes, radius)))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): the first two name a document; equal keys are one document given twice."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+
+
+def first_rows(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The row of each component that stands first by doc_id (null last), text hash and hash of all columns.
+
+    ``marked`` holds the key and the ``node`` of every row, ``found`` the ``root`` of every node
+    but the roots. Of rows with one key and equal columns one stays.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    best = marked.groupBy("node").agg(F.min(order).alias("o")).join(found, "node", "left")
+    first = best.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("o").alias("o")).select(F.col("o.doc_id").alias("__d"), F.col("o.text_hash").alias("__t"))
+    rows = marked.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.count(F.lit(1)).alias("n"))
+    first, rows = written(first, "firsts"), written(rows, "rows")
+    match = rows["__d"].eqNullSafe(first["__d"]) & (rows["__t"] == first["__t"])
+    gone = written(rows.join(first, match, "left_anti").drop("n"), "copies")
+    again = written(rows.where("n > 1").join(first, match, "left_semi").drop("n"), "repeated")
+    doc, text = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = lambda keys: doc.eqNullSafe(keys["__d"]) & (text == keys["__t"])
+    kept = docs.join(gone, same(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    hashable = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    several = docs.join(again, same(again), "left_semi").groupBy(doc.alias("__d"), text.alias("__t"))
+    one = several.agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.xxhash64(*hashable)).alias("one")).select("one.*")
+    return kept.join(again, same(again), "left_anti").unionByName(one)
