@@ -4,9 +4,10 @@ Documents are encoded once into a narrow table of pieces (no token moves afterwa
 are dealt evenly to shards of a fixed expected size; each shard starts from best-fit
 decreasing and then empties its least filled sequences by exchanges that raise the sum of
 squared fills: a move, one document for one, or two for one. Sequences that stay underfull
-go on to a next round with 64 times fewer shards, where the search exchanges documents
-between the sequences of different shards, until one shard is left. So no task ever holds
-more than a shard, and the loss is at most a few sequences in all.
+go on to a next round with as many shards as their pieces need, where the search exchanges
+documents between the sequences of different shards. A lone piece beside which not even the
+shortest piece left fits is closed. Rounds end with one shard, or when one empties no
+sequence. So no task ever holds much more than a shard, whatever the lengths.
 
 Null texts are empty documents, which still hold the end id. Rows that share a doc_id are
 packed each. An empty table gives an empty result. Other columns of the input are ignored.
@@ -29,7 +30,7 @@ from forecourt.llm.common import importable, map_arrow, slices, written
 
 CAPACITY = 4096
 SHARD = 8192  # pieces in a shard, expected
-MERGE = 64  # shards whose underfull sequences meet in the next round
+ROUNDS = 127  # that a bin's number can name
 SLACK = 64  # a sequence with more room than this is underfull
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -74,17 +75,32 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> np.nda
     return bins
 
 
+def fewest(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """A lower bound of the number of bins (Martello and Toth): every item over half the capacity
+    needs its own, and those over capacity - k leave no room for items of k or more."""
+    if not len(lengths):
+        return 0
+    n = np.sort(lengths.astype(np.int64))
+    upto = np.concatenate([[0], np.cumsum(n)])
+    half = np.searchsorted(n, capacity // 2, "right")
+    k = np.unique(np.append(n[:half], 0))
+    small, full = np.searchsorted(n, k, "left"), np.searchsorted(n, capacity - k, "right")
+    room = (full - half) * capacity - (upto[full] - upto[half])
+    more = -(-(upto[half] - upto[small] - room) // capacity)
+    return int((len(n) - half + np.maximum(0, more)).max())
+
+
 def local_search(lengths: np.ndarray, bins: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Empty the least filled bins by exchanges with fuller ones, while there may be a bin too many.
 
     Every exchange takes tokens from the bin being emptied to one at least as full, so the sum
-    of squared fills grows and the search ends. It stops at the bound total / capacity, or when
-    no bin can be emptied.
+    of squared fills grows and the search ends. It stops at a lower bound of the number of bins,
+    or when no bin can be emptied.
     """
     lengths, bins = lengths.astype(np.int64), np.unique(bins, return_inverse=True)[1].astype(np.int64)
     count = int(bins.max(initial=-1)) + 1
     fill = np.bincount(bins, lengths, count).astype(np.int64)
-    least = -(-int(lengths.sum()) // capacity)
+    least = fewest(lengths, capacity)
     alive, stuck = count, set()
     while alive > least:
         open_ = [b for b in np.argsort(fill, kind="stable").tolist() if 0 < fill[b] < capacity and b not in stuck]
@@ -171,15 +187,22 @@ def place(items: DataFrame, capacity: int = CAPACITY, shard: int = SHARD) -> Dat
     shards = max(1, -(-items.count() // shard))
     deal = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))  # even, whatever the keys
     items, done, number = items.withColumns({"bin": F.lit(0).cast("long"), "shard": deal}), [], 0
+    bins = None
     while True:
         out = written(_round(items, shards, number, capacity), f"packed{number}")
-        if shards == 1:
+        if shards == 1 or number + 1 == ROUNDS or (bins is not None and bins == out.select("bin").distinct().count()):
             done.append(out)
             break
         underfull = F.col("fill") < capacity - SLACK
+        shortest = out.where(underfull).agg(F.min("length")).first()[0]
+        if shortest is not None:  # a lone piece with less room than this can share with none
+            underfull &= (F.col("fill") > F.col("length")) | (F.col("fill") <= capacity - shortest)
         done.append(out.where(~underfull))
-        shards, number = -(-shards // MERGE), number + 1
-        deal = F.pmod(F.xxhash64(F.shiftright("bin", 28)), F.lit(shards))  # the sequences of a shard stay together
+        left, bins = out.where(underfull).agg(F.count(F.lit(1)), F.count_distinct("bin")).first()
+        if not left:
+            break
+        shards, number = max(1, -(-left // shard)), number + 1
+        deal = F.pmod(F.xxhash64("bin", F.lit(number)), F.lit(shards))  # the pieces of a sequence stay together
         items = out.where(underfull).drop("fill").withColumn("shard", deal)
     placed = done[0]
     for part in done[1:]:

@@ -59,3 +59,31 @@ def test_pack(spark, shard):
 
 def test_empty(spark):
     assert packing.pack(cases.docs(spark, []), PATH).count() == 0
+
+
+@pytest.mark.parametrize("short", [0, 12])
+def test_stuck_sequences_never_meet_in_one_group(spark, monkeypatch, short):
+    largest, plain = [], packing._round
+
+    def watched(items, shards, *rest):
+        largest.append(items.groupBy("shard").count().agg({"count": "max"}).first()[0])
+        return plain(items, shards, *rest)
+
+    monkeypatch.setattr(packing, "_round", watched)
+    rows = [(i, 0, 0, 51 + i % 45, i) for i in range(600)] + [(i, 0, 0, 1 + i % 3, i) for i in range(600, 600 + short)]
+    got = packing.place(spark.createDataFrame(rows, packing.PIECES), 100, 16).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows]
+    fill: dict = {}
+    for r in got:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert max(fill.values()) <= 100 and len(fill) >= 600
+    assert max(largest) <= 4 * 16
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 100), max_size=60))
+def test_lower_bound(lengths):
+    lengths = np.array(lengths, np.int64)
+    bound = packing.fewest(lengths, 100)
+    assert -(-lengths.sum() // 100) <= bound <= len(set(packing.best_fit_decreasing(lengths, 100)))
+    assert packing.fewest(np.array([51, 60, 70, 99]), 100) == 4
