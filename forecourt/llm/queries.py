@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import chunks, langid, licenses, orc, packing, quality, rules, search, simhash, urls
+from forecourt.llm import chunks, langid, licenses, orc, packing, phrases, quality, rules, search, simhash, urls
 from forecourt.llm.common import table
 from forecourt.session import scratch_path
 
@@ -189,3 +189,35 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_language")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(table(spark, sf, "pages"), langid.fit(table(spark, sf, "documents")))
+
+
+def _grams_sql() -> str:
+    """Phrases of one to four words, in one column."""
+    return " UNION ALL ".join(f"SELECT lang, {m} AS m, array_to_string(w[i:i + {m - 1}], ' ') AS phrase FROM i WHERE i + {m - 1} <= len(w)" for m in (1, 2, 3, 4))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, '{urls.UPPER}', '{urls.LETTERS}') AS text FROM documents WHERE text IS NOT NULL),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
+-]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, m, phrase, count(*) AS f FROM ({_grams_sql()}) GROUP BY ALL HAVING count(*) >= 30 OR m = 1),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE m = 1 GROUP BY lang),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+k AS (SELECT *, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, ((2000000 * k.a::HUGEINT) // (x.f + y.f)::HUGEINT)::BIGINT AS score
+  FROM k JOIN g x ON k.lang = x.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') JOIN g y ON k.lang = y.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, a, w, unnest(range(2, m)) AS n, m FROM c WHERE m > 2),
+q AS (SELECT lang, a, w, n, unnest(range(1, m - n + 2)) AS i FROM o),
+z AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, max(a) AS around FROM q GROUP BY ALL),
+e AS (SELECT b.lang, b.phrase, a, l, r, n, score FROM b JOIN t USING (lang) LEFT JOIN z ON b.lang = z.lang AND b.phrase = z.phrase WHERE around IS NULL OR 100 * around::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM e
+QUALIFY rank <= 2000
+"""
+
+
+@query("op13_phrases", OP13_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
