@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from forecourt.llm import chunks, langid, licenses, orc, packing, phrases, quality, rules, search, simhash, urls
+from forecourt.llm import chunks, hmm, langid, lexical, licenses, orc, packing, phrases, quality, rules, search, simhash, urls
 from forecourt.llm.common import table
 from forecourt.session import scratch_path
 
@@ -199,7 +199,8 @@ def _grams_sql() -> str:
 OP13_SQL = rf"""
 WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(text, '{urls.UPPER}', '{urls.LETTERS}') AS text FROM documents WHERE text IS NOT NULL),
 p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?
--]')) AS piece FROM d),
+-
+]')) AS piece FROM d),
 w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
 i AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 g AS (SELECT lang, m, phrase, count(*) AS f FROM ({_grams_sql()}) GROUP BY ALL HAVING count(*) >= 30 OR m = 1),
@@ -221,3 +222,30 @@ QUALIFY rank <= 2000
 @query("op13_phrases", OP13_SQL)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return phrases.collocations(table(spark, sf, "documents"))
+
+
+_TERMS = r"regexp_extract_all(translate(text, '{}', '{}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(urls.UPPER, urls.LETTERS)
+
+OP11_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+u AS (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d),
+t AS (SELECT doc_id, n, term, count(*) AS tf FROM u GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+x AS (SELECT item_id, doc_id, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w, tf, 10 + (90 * n * docs) // words AS m
+  FROM q JOIN t USING (term) JOIN f USING (term), s),
+y AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM x GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM y WHERE score > 0
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_ranked_search", OP11_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op12_hidden_markov")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return hmm.score(table(spark, sf, "documents"))
