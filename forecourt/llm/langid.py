@@ -33,8 +33,12 @@ DOMAIN_WEIGHT = 8.0
 TABLE_WEIGHT = 2.0
 
 _KEEP = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
-_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+_START = re.compile(r"[<&]")
+_ENTITY = re.compile(r"&#?\w++;")
+_RAW = re.compile(r"<(script|style)\b", re.I)
+_CLOSED = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
+_HTML = re.compile(r"<html\b", re.I)
+_LANG = re.compile(r"\blang\s*+=\s*+[\"']?+\s*+([A-Za-z]{2,8})", re.I)
 
 
 def triples(text: str) -> np.ndarray:
@@ -47,12 +51,52 @@ def triples(text: str) -> np.ndarray:
 
 
 def visible(html: str) -> str:
-    return _MARKUP.sub(" ", html)
+    """The text with a blank for each script or style element, comment, tag and entity.
+
+    What is not closed is text, but for the tag that opens it. An end that was looked for in vain
+    is not looked for again, so time grows with the length alone.
+    """
+    out, done, never = [], 0, set()
+
+    def end_of(what: str, found: int) -> int:
+        if found < 0:
+            never.add(what)
+        return found
+
+    found = _START.search(html)
+    while found:
+        at, end = found.start(), -1
+        if html[at] == "&":
+            entity = _ENTITY.match(html, at)
+            end = entity.end() if entity else -1
+        else:
+            raw = _RAW.match(html, at)
+            if raw and (name := raw[1].lower()) not in never:
+                close = _CLOSED[name].search(html, raw.end())
+                end = end_of(name, close.end() if close else -1)
+            if end < 0 and html.startswith("<!--", at) and "-->" not in never:
+                close = end_of("-->", html.find("-->", at + 4))
+                end = close + 3 if close >= 0 else -1
+            if end < 0 and ">" not in never:
+                end = end_of(">", html.find(">", at + 1)) + 1 or -1
+        if end >= 0:
+            out += [html[done:at], " "]
+            done = end
+        found = _START.search(html, end if end >= 0 else at + 1)
+    return "".join([*out, html[done:]])
 
 
 def declared(html: str) -> str | None:
-    found = _DECLARED.search(html)
-    return found[1].lower() if found else None
+    """The language that the first html tag with one names."""
+    tag = _HTML.search(html)
+    while tag:
+        end = html.find(">", tag.end())
+        end = len(html) if end < 0 else end
+        found = _LANG.search(html, tag.end(), end)
+        if found:
+            return found[1].lower()
+        tag = _HTML.search(html, end)
+    return None
 
 
 @dataclass

@@ -1,7 +1,10 @@
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from hypothesis import given, strategies as st
 from pyspark.sql import functions as F
 
 from forecourt.llm import langid
@@ -63,3 +66,23 @@ def test_without_labels(spark):
     docs = cases.docs(spark, []).withColumn("lang", F.lit(None).cast("string"))
     pages = spark.createDataFrame([(1, "http://a.b", "x")], "page_id long, url string, html string")
     assert [r.lang for r in langid.identify(pages, langid.fit(docs)).collect()] == [None]
+
+
+_MARKUP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
+_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,8})", re.I)
+PARTS = ["<script", "</SCRIPT >", "</script", "<style>", "</style>", "<!--", "-->", "<", ">", "&", "&amp;", "#", ";", "text", " ", "é", "<html", " lang", "=", "'", "en", "\n", "-", "scripts"]
+
+
+@given(st.lists(st.sampled_from(PARTS), max_size=25).map("".join))
+def test_markup_as_by_expressions(html):
+    assert langid.visible(html) == _MARKUP.sub(" ", html)
+    found = _DECLARED.search(html)
+    assert langid.declared(html) == (found[1].lower() if found else None)
+
+
+@pytest.mark.parametrize("part", ["<script>", "<style ", "<!--", "<!-- <", "<", "&", "&#", "</script", "<html ", "<html lang", "<html lang= ", "<script></style>", "<a>", "&amp;", "<script></script>"])
+def test_a_megabyte_ends_soon(part):
+    html = part * (1_000_000 // len(part))
+    began = time.process_time()
+    langid.visible(html), langid.declared(html), langid.declared("<html lang=" + " " * 1_000_000)
+    assert time.process_time() - began < 6
