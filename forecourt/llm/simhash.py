@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from forecourt.llm.common import map_arrow, slices, written
+from forecourt.llm.common import bit_of, bitmap, map_arrow, slices, split_by_keys, written
 from forecourt.llm.graph import components
 
 BITS = 64
@@ -39,7 +39,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         return 0
     grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), "<u8")
+    return majority(np.fromiter((digest(g, SEED) for g in grams), "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         bits = np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -47,16 +51,15 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, hashed: bool = False) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long; if ``hashed``, (doc_id, text_hash, fp)."""
-    keys = ["doc_id", "text_hash"] if hashed else ["doc_id"]
+def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """(doc_id, fp) with the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             found = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.array(found)], names=[*keys, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fp"])
 
-    return map_arrow(keyed(docs).select(*keys, "text"), run, ", ".join(f"{c} long" for c in [*keys, "fp"]))
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -105,13 +108,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each component (see ``first_rows``), with all its columns."""
-    marked = written(fingerprints(docs, shingle, hashed=True).withColumnRenamed("fp", "node"), "fingerprints")
-    nodes = written(marked.select(F.col("node").alias("fp")).distinct(), "nodes")
-    return first_rows(docs, marked, components(links(nodes, radius)))
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, text): the first two name a document; equal keys are one document given twice."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -131,12 +127,17 @@ def first_rows(docs: DataFrame, marked: DataFrame, found: DataFrame) -> DataFram
     match = rows["__d"].eqNullSafe(first["__d"]) & (rows["__t"] == first["__t"])
     gone = written(rows.join(first, match, "left_anti").drop("n"), "copies")
     again = written(rows.where("n > 1").join(first, match, "left_semi").drop("n"), "repeated")
-    doc, text = docs["doc_id"].cast("long"), F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    # Texts that are certainly kept stay where they are; only those that may be gone or repeated are joined.
+    key_of = lambda d, t: bit_of(d, t).alias("at")
+    marks = written(bitmap(gone.unionByName(again).select(key_of(F.col("__d"), F.col("__t")))), "marks")
+    hashed = lambda rows: F.xxhash64(F.coalesce(rows["text"], F.lit("")))
+    plain, some = split_by_keys(docs, key_of(docs["doc_id"].cast("long"), hashed(docs)), marks)
+    doc, text = some["doc_id"].cast("long"), hashed(some)
     same = lambda keys: doc.eqNullSafe(keys["__d"]) & (text == keys["__t"])
-    kept = docs.join(gone, same(gone), "left_anti")
+    kept = some.join(gone, same(gone), "left_anti")
     if again.isEmpty():
-        return kept
+        return plain.unionByName(kept)
     hashable = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    several = docs.join(again, same(again), "left_semi").groupBy(doc.alias("__d"), text.alias("__t"))
+    several = some.join(again, same(again), "left_semi").groupBy(doc.alias("__d"), text.alias("__t"))
     one = several.agg(F.min_by(F.struct(*[f"`{c}`" for c in docs.columns]), F.xxhash64(*hashable)).alias("one")).select("one.*")
-    return kept.join(again, same(again), "left_anti").unionByName(one)
+    return plain.unionByName(kept.join(again, same(again), "left_anti")).unionByName(one)

@@ -9,8 +9,8 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from forecourt.llm import packing, quality
 
+from .test_nearcopies import brute as brute_copies
 from .test_rules import brute as brute_rules
-from .test_simhash import brute_components, brute_fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,8 +22,9 @@ def test_run(spark):
     rows = [r for r in docs.collect() if model.scores(np.array([quality.statistics(r.text)]))[0] >= 0.5]
     judged = brute_rules([(r.doc_id, r.source, r.text) for r in rows], 0.1, 20, 0.3)
     rows = [r for r in rows if judged[r.doc_id][-1]]
-    roots = brute_components([(r.doc_id, brute_fingerprint(r.text)) for r in rows])
-    rows = [r for r in rows if roots[r.doc_id] == r.doc_id]
+    first = brute_copies([(r.doc_id, r.text) for r in rows])
+    assert len(first) < len(rows)
+    rows = [r for r in rows if r.doc_id in first]
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     want = []
     for r in rows:

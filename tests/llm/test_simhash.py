@@ -53,8 +53,6 @@ def test_documents(spark):
     want = brute_components(rows)
     assert {d: (f"{f:016x}", want[d]) for d, f in rows} == {d: (r.hex, r.component_id) for d, r in got.items()}
     assert want[9] == want[8] == 7 and want[3] == want[2] == 1
-    assert sorted({r.doc_id for r in simhash.keep(cases.docs(spark)).collect()}) == sorted(set(want.values()))
-    assert simhash.keep(cases.docs(spark)).columns == cases.docs(spark).columns
 
 
 def test_crowded_buckets_and_chains(spark):
@@ -81,14 +79,3 @@ def test_empty_and_null_ids(spark):
     assert simhash.near_duplicates(cases.docs(spark, [])).count() == 0
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(cases.docs(spark, [(None, "a b"), (4, "a b"), (None, "zz")])).collect()}
     assert got == {(None, 4), (4, 4), (None, None)}
-
-
-def test_keep_with_null_and_repeated_ids(spark):
-    def kept(rows):
-        return sorted(((r.doc_id, r.text) for r in simhash.keep(cases.docs(spark, rows)).collect()), key=str)
-
-    a, b, c = "a b", "zz", cases.prose(60, 9)
-    assert kept([(None, a), (4, a), (None, b)]) == sorted([(4, a), (None, b)], key=str)
-    assert kept([(1, a), (7, a), (7, b)]) == [(1, a), (7, b)]  # an id with two texts, one of them a copy
-    assert kept([(None, a), (None, a), (None, c)]) == sorted([(None, a), (None, c)], key=str)
-    assert kept([(5, a), (5, a), (5, a.upper()), (5, c)])[-1] == (5, c) and len(kept([(5, a), (5, a), (5, a.upper()), (5, c)])) == 2
