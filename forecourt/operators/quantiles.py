@@ -29,10 +29,12 @@ def order_statistics(
     value: Column | str,
     ranks: Mapping[str, str],
     holdout: tuple[str, int] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per key: ``n`` non-missing values, and per name the value at a 0-based rank (SQL text over ``n``).
 
-    Null keys form a group of their own. ``holdout=(fold column, k)`` adds a key column ``hold``
+    Null keys form a group of their own. ``weight`` names a column with how often a row's value
+    counts, for rows that are counts already. ``holdout=(fold column, k)`` adds a key column ``hold``
     and answers, for each fold, over the rows of all *other* folds. Counts are subtracted per
     fold, so no row is copied k-1 times.
     """
@@ -41,10 +43,11 @@ def order_statistics(
     columns = [F.col(k) for k in keys] + [finite(F.col(value) if isinstance(value, str) else value).alias("__v")]
     if holdout:
         columns.append(F.col(holdout[0]).alias("__fold"))
-    own = [F.expr(f"count_if(__fold = {j}) AS __f{j}") for j in folds]
+    columns.append((F.col(weight) if weight else F.lit(1)).cast("long").alias("__w"))
+    own = [F.expr(f"sum(if(__fold = {j}, __w, 0L)) AS __f{j}") for j in folds]
     counted = (
         df.select(*columns).where("__v IS NOT NULL").groupBy(*keys, "__v")
-        .agg(F.expr("count(1) AS __c"), *own).selectExpr("*", BUCKET)
+        .agg(F.expr("sum(__w) AS __c"), *own).selectExpr("*", BUCKET)
     )
 
     sums = [F.expr(f"sum(__f{j}) AS __f{j}") for j in folds]
@@ -90,20 +93,21 @@ def quantiles(
     value: Column | str,
     probs: Mapping[str, float],
     holdout: tuple[str, int] | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
     """Per key: ``n`` and linearly interpolated exact quantiles."""
     at = {name: f"({TOTAL} - 1) * {float(p)!r}D" for name, p in probs.items()}
     ranks = {f"{name}__lo": f"floor({pos})" for name, pos in at.items()}
     ranks |= {f"{name}__hi": f"ceil({pos})" for name, pos in at.items()}
-    stats = order_statistics(df, keys, value, ranks, holdout)
+    stats = order_statistics(df, keys, value, ranks, holdout, weight)
     values = [f"{name}__lo + ({name}__hi - {name}__lo) * ({pos} - floor({pos})) AS {name}" for name, pos in at.items()]
     return stats.selectExpr(*keys, *(["hold"] if holdout else []), TOTAL, *values)
 
 
 def medians(
-    df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median", holdout: tuple[str, int] | None = None
+    df: DataFrame, keys: Sequence[str], value: Column | str, name: str = "median", holdout: tuple[str, int] | None = None, weight: str | None = None
 ) -> DataFrame:
-    return quantiles(df, keys, value, {name: 0.5}, holdout)
+    return quantiles(df, keys, value, {name: 0.5}, holdout, weight)
 
 
 def median_scalar(df: DataFrame, value: Column | str) -> Column:
