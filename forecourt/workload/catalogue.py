@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from forecourt.workload import q_features, q_history, q_models, q_reports, q_scalar  # noqa: F401
+from forecourt.workload import q_features, q_history, q_jobs, q_models, q_reports, q_scalar  # noqa: F401
 from forecourt.workload.registry import ORACLE, QUERIES
 
 
