@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,7 +50,7 @@ def run(spark, given, least=30, first=2000, **limits):
     return sorted(tuple(r) for r in phrases.collocations(d, least, first, **limits).collect())
 
 
-@pytest.mark.parametrize("limits", [{}, {"burst": 3, "held": 40}, {"bits": 8}])
+@pytest.mark.parametrize("limits", [{}, {"burst": 3, "held": 40, "pairs": 50}, {"bits": 8}])
 def test_as_by_hand(spark, limits):
     want = brute(rows(), 20, 2000)
     assert len(want) > 60 and run(spark, rows(), 20, **limits) == want
@@ -60,29 +61,27 @@ def test_first_of_each_language(spark):
 
 
 def test_trie_keeps_all_counts():
-    rnd, want = random.Random(2), Counter()
-    trie, got = phrases.HatTrie(burst=4), Counter()
-    for _ in range(6000):
-        p = [b"w%d" % rnd.randint(0, 6) for _ in range(rnd.randint(1, 4))]
-        want[b" ".join(p)] += 1
-        trie.add(p)
-        if trie.size > 300:
-            run = trie.spill(0.5)
-            assert run == sorted(run) and trie.size < 300
-            got.update(dict(phrases.merged([phrases.packed(run)], 1)))
-    got.update(dict(trie.spill()))
-    assert got == want and not trie.root and any(type(c) is dict for c in _filled().root.values())
-
-
-def _filled() -> phrases.HatTrie:
+    rnd, want, got, inner = random.Random(2), Counter(), Counter(), False
     trie = phrases.HatTrie(burst=4)
-    for i in range(9):
-        trie.add([b"a", b"w%d" % i])
-    return trie
+    for _ in range(300):
+        some = [[b"w%d" % rnd.randint(0, 6) for _ in range(rnd.randint(1, 4))] for _ in range(20)]
+        want.update(b" ".join(p) for p in some)
+        ids = [(trie.numbered(p).tolist() + [0, 0, 0])[:4] for p in some]
+        trie.add(np.array([i[0] for i in ids]), np.array([i[1] << 42 | i[2] << 21 | i[3] for i in ids]))
+        inner |= any(type(c) is dict for c in trie.root.values())
+        if trie.size > 300:
+            spilled, times, prefix = trie.spill(0.5)
+            assert 100 < len(spilled) == len(times) == len(prefix) and trie.size < 300
+            got.update(dict(phrases.merged([phrases.packed(sorted(zip(spilled, times)))], 1)))
+    spilled, times, _ = trie.spill()
+    got.update(dict(zip(spilled, times)))
+    assert got == want and inner and not trie.root
 
 
 def test_runs_merge():
     runs = [phrases.packed(sorted(r)) for r in ([(b"a b", 2), (b"c", 1)], [(b"a b", 3), (b"a c", 4)], [(b"c", 9)])]
+    hashes, times = np.array([3, 5, 1 << 47], np.uint64), np.array([1, 300, 2], np.uint64)
+    assert [x.tolist() for x in phrases.unpacked_hashes(phrases.packed_hashes(hashes, times))] == [hashes.tolist(), times.tolist()]
     assert list(phrases.merged(runs, 5)) == [(b"a b", 5), (b"c", 10)] and list(phrases.merged([], 1)) == []
 
 
