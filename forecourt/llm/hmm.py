@@ -155,10 +155,11 @@ class Batch:
         self.active = np.searchsorted(-sorted_lengths, -np.arange(1, steps + 1), side="right")  # sequences at each step
         self.starts = np.concatenate([[0], np.cumsum(self.active)])
         # Where each token, text by text, stands when the tokens are arranged step by step.
-        rank = np.empty(len(lengths), np.int64)
-        rank[self.order] = np.arange(len(lengths))
+        rank = np.empty(len(lengths), np.int32)
+        rank[self.order] = np.arange(len(lengths), dtype=np.int32)
         step = np.arange(lengths.sum(), dtype=np.int32) - np.repeat((np.cumsum(lengths) - lengths).astype(np.int32), lengths)
-        self.place = self.starts[step]
+        narrow = np.int32 if self.starts[-1] < 1 << 31 else np.int64
+        self.place = self.starts.astype(narrow)[step]
         self.place += np.repeat(rank, lengths)
 
     def arranged(self, values: np.ndarray) -> np.ndarray:
@@ -334,6 +335,7 @@ def round_counts(rows: DataFrame, model, states: int, unit: int, whole: bool = F
             side = Batch(lengths)
             at = np.where((ids < 0) | (ids >= k), k, ids)
             placed = side.arranged(at)
+            del at
             emit = lambda i, j: emissions.take(placed[i:j], axis=0)  # noqa: E731, B023
             if whole:  # words beyond the hot ones get numbers after theirs
                 beyond = ids < 0
@@ -342,6 +344,7 @@ def round_counts(rows: DataFrame, model, states: int, unit: int, whole: bool = F
                 placed_words = side.arranged(number)
                 seen = np.pad(seen, ((0, max(size + len(words) - len(seen), 0)), (0, 0)))
                 times = np.pad(times, (0, len(seen) - len(times))) + np.bincount(number, minlength=len(seen))
+                del number, beyond
             for kind, begin, counts in expected(chain, side, emit):
                 if kind == "start":
                     starts += counts
