@@ -2,8 +2,11 @@
 
 ``F.percentile`` / ``F.median`` keep every distinct value of a group in one buffer. Here
 equal values are first counted (map-side combine), the counts are summed into coarse
-order-preserving buckets (64 per octave, so their number has a fixed bound), the bucket
-holding each wanted rank is found, and only those few buckets are looked at value by value.
+order-preserving buckets (64 per octave, so their number has a fixed bound), and the bucket
+holding each wanted rank is found. Only those few buckets are looked at more closely: their
+counts are summed into ``FINER`` buckets each, and only the finer ones that hold a wanted
+rank are looked at value by value. So a task holds the coarse buckets of a group, or the finer
+ones of a bucket, or the distinct values within one part in 64 * 4096 of an octave.
 """
 
 from __future__ import annotations
@@ -15,11 +18,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forecourt.functions.numbers import finite
 
 TOTAL = "n"
-# Non-decreasing integer code of a double; 100000 is above 64 * 1075, its largest magnitude.
-BUCKET = (
-    "CASE WHEN __v > 0 THEN CAST(floor(log2(__v) * 64) AS BIGINT) + 100000 "
-    "WHEN __v < 0 THEN -CAST(floor(log2(-__v) * 64) AS BIGINT) - 100000 ELSE 0L END AS __b"
-)
+COARSE, FINER = 64, 4096
+
+
+def _code(per_octave: int) -> str:
+    """Non-decreasing integer code of a double, so many to an octave; 1600 is above 1075, the largest magnitude of log2.
+
+    Factors that are powers of two are exact, so that codes of a finer scale nest in those of a coarser one.
+    """
+    shift = 1600 * per_octave
+    return (
+        f"CASE WHEN __v > 0 THEN CAST(floor(log2(__v) * {per_octave}) AS BIGINT) + {shift} "
+        f"WHEN __v < 0 THEN -CAST(floor(log2(-__v) * {per_octave}) AS BIGINT) - {shift} ELSE 0L END"
+    )
+
+
 UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -47,7 +60,7 @@ def order_statistics(
     own = [F.expr(f"sum(if(__fold = {j}, __w, 0L)) AS __f{j}") for j in folds]
     counted = (
         df.select(*columns).where("__v IS NOT NULL").groupBy(*keys, "__v")
-        .agg(F.expr("sum(__w) AS __c"), *own).selectExpr("*", BUCKET)
+        .agg(F.expr("sum(__w) AS __c"), *own).selectExpr("*", f"{_code(COARSE)} AS __b", f"{_code(COARSE * FINER)} AS __d")
     )
 
     sums = [F.expr(f"sum(__f{j}) AS __f{j}") for j in folds]
@@ -65,26 +78,36 @@ def order_statistics(
         f"sum(__bc) OVER ({part} ORDER BY __b {UPTO}) AS __end",
         f"sum(__bc) OVER ({part} ORDER BY __b {UPTO}) - __bc AS __start",
     ).selectExpr("*", *[f"CAST({rank} AS BIGINT) AS __r_{name}" for name, rank in ranks.items()])
-
-    def holds(low: str, high: str) -> dict[str, str]:
-        return {name: f"(__r_{name} >= {low} AND __r_{name} < {high})" for name in ranks}
-
-    wanted = buckets.where(" OR ".join(holds("__start", "__end").values()))
-    right = [f"{k} AS __k_{k}" for k in [*keys, "__b"]] + (["hold"] if holdout else [])
-    wanted = wanted.selectExpr(*right, TOTAL, "__start", *[f"__r_{name}" for name in ranks])
-
-    # Null-safe equality: null keys match, and no filter is inferred that would make the two
-    # readings of ``counted`` differ (its exchange is shared).
-    placed = counted.join(wanted, F.expr(" AND ".join(f"{k} <=> __k_{k}" for k in [*keys, "__b"])))
+    wanted_ranks = [f"__r_{name}" for name in ranks]
+    holds = {name: f"(__r_{name} >= __start AND __r_{name} < __end)" for name in ranks}
+    held = " OR ".join(holds.values())
     count = f"(__c - get(array({', '.join(f'__f{j}' for j in folds)}), hold))" if holdout else "__c"
-    inside = f"PARTITION BY {', '.join([*groups, '__b'])} ORDER BY __v {UPTO}"
-    placed = placed.selectExpr(
-        *groups, "__v", TOTAL, f"__start + sum({count}) OVER ({inside}) AS __to",
-        f"__start + sum({count}) OVER ({inside}) - {count} AS __from", *[f"__r_{name}" for name in ranks],
-    )
-    hit = holds("__from", "__to")
-    found = [F.expr(f"max(CASE WHEN {test} THEN __v END) AS {name}") for name, test in hit.items()]
-    return placed.where(" OR ".join(hit.values())).groupBy(*groups).agg(F.expr(f"max({TOTAL}) AS {TOTAL}"), *found)
+
+    def values_of(wanted: DataFrame, code: str) -> DataFrame:
+        """The counted values whose ``code`` is wanted, with the group's total, the bucket's start and the ranks.
+
+        Null-safe equality: null keys match, and no filter is inferred that would make the
+        readings of ``counted`` differ (its exchange is shared).
+        """
+        on = [*keys, code]
+        right = [f"{k} AS __k_{k}" for k in on] + (["hold"] if holdout else [])
+        wanted = wanted.selectExpr(*right, TOTAL, "__start", *wanted_ranks)
+        found = counted.join(wanted, F.expr(" AND ".join(f"{k} <=> __k_{k}" for k in on)))
+        return found.selectExpr(*groups, "__v", "__b", "__d", TOTAL, "__start", f"{count} AS __n", *wanted_ranks)
+
+    def placed(rows: DataFrame, within: str, order: str, n: str) -> DataFrame:
+        """``__start`` and ``__end`` of each row of a bucket, from the bucket's own start."""
+        inside = f"PARTITION BY {', '.join([*groups, within])} ORDER BY {order} {UPTO}"
+        kept = [c for c in rows.columns if c not in ("__start", n)]
+        return rows.selectExpr(*kept, f"__start + sum({n}) OVER ({inside}) AS __end", f"__start + sum({n}) OVER ({inside}) - {n} AS __start")
+
+    # ``first`` of what is equal within a bucket anyway.
+    same = [F.first(c).alias(c) for c in (TOTAL, "__start", *wanted_ranks)]
+    finer = values_of(buckets.where(held), "__b").groupBy(*groups, "__b", "__d").agg(F.sum("__n").alias("__n"), *same)
+    values = values_of(placed(finer, "__b", "__d", "__n").where(held), "__d")
+    values = placed(values, "__d", "__v", "__n").where(held)
+    found = [F.expr(f"max(CASE WHEN {test} THEN __v END) AS {name}") for name, test in holds.items()]
+    return values.groupBy(*groups).agg(F.expr(f"max({TOTAL}) AS {TOTAL}"), *found)
 
 
 def quantiles(

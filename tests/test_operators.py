@@ -172,3 +172,24 @@ def test_sources_round_trip(spark, tmp_path):
         readers.read_partition(spark, str(folder), "absent")
     path = sinks.write_table(a, str(tmp_path / "o.csv"))
     assert sorted(map(tuple, readers.read_table(spark, path).collect())) == [("1", "x, y"), ("2", 'q"r')]
+
+
+def test_crowded_quantile_bucket_is_refined(spark):
+    """A million distinct values within one percent: exact, and no window task holds a hundredth of them."""
+    n = 1_000_000
+    df = spark.range(n).select(F.expr(f"100D + ((id * 7919) % {n}) / {n}D").alias("v"), (F.col("id") % 3).alias("fold"))
+    got = quantiles.quantiles(df, [], "v", {"a": 0.1, "b": 0.5}).first()
+    want = np.quantile(100.0 + np.arange(n) / n, [0.1, 0.5])
+    assert (got.n, got.a, got.b) == (n, pytest.approx(want[0], abs=1e-12), pytest.approx(want[1], abs=1e-12))
+    coded = df.selectExpr("v AS __v").selectExpr(f"{quantiles._code(quantiles.COARSE)} AS b", f"{quantiles._code(quantiles.COARSE * quantiles.FINER)} AS d")
+    finer = coded.groupBy("b", "d").count()
+    assert finer.agg(F.max("count")).first()[0] < n / 100
+    assert finer.groupBy("b").count().agg(F.max("count")).first()[0] <= quantiles.FINER
+
+
+def test_finer_codes_nest_and_keep_the_order(spark):
+    values = sorted([0.0, -0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, 1.0, 0.9999999999999999, 1.0000000000000002, -3.5, 64.0] + [random.Random(2).uniform(-9, 9) for _ in range(200)])
+    rows = spark.createDataFrame([(v,) for v in values], "__v double").selectExpr("__v", f"{quantiles._code(quantiles.COARSE)} AS b", f"{quantiles._code(quantiles.COARSE * quantiles.FINER)} AS d").orderBy("__v").collect()
+    assert all(x.d <= y.d and x.b <= y.b for x, y in zip(rows, rows[1:]))
+    by_fine = {}
+    assert all(by_fine.setdefault(r.d, r.b) == r.b for r in rows)
