@@ -8,6 +8,7 @@ from forecourt import constants as K
 from forecourt.operators import audits, blend, calibrate, catalog, demand, folds, ladders, metrics, segments, snapshots
 from forecourt.plans import clean
 from forecourt.session import materialize
+from forecourt.trims import LADDERS, TOKEN_TIERS
 from forecourt.workload import views as V
 from forecourt.workload.registry import query, r, rnd, rounded, rs, s_age_bucket, s_band, s_fold, s_norm, s_squeeze, sql
 
@@ -247,6 +248,7 @@ _DMD = {
     "bx": """SELECT fx.*, a.multiplier AS m_car_age, k.multiplier AS m_kms_per_year, o.multiplier AS m_ownership FROM fx
       LEFT JOIN mm a ON a.t = 'age_bucket' AND car_age >= a.min AND car_age < a.max LEFT JOIN mm k ON k.t = 'kms_year_bucket' AND kms_per_year >= k.min AND kms_per_year < k.max
       LEFT JOIN mm o ON o.t = 'ownership_bucket' AND ownership >= o.min AND ownership < o.max""",
+    "rx": "SELECT bx.*, s.multiplier AS m_reg_state FROM bx LEFT JOIN mm s ON s.t = 'reg_state' AND s.nm = lower(reg_state)",
 }
 _PARTS = {"m_city": 0.60, "m_body_type": 0.50, "m_fuel": 0.55, "m_transmission": 0.50, "m_car_age": 1.00, "m_kms_per_year": 0.95, "m_ownership": 0.80}
 _BASE_W = "CASE base_source WHEN 'variant' THEN 0.60 WHEN 'model' THEN 0.85 WHEN 'make' THEN 0.80 ELSE 0 END"
@@ -279,6 +281,18 @@ def dmd_composite(spark, sf):
     return out.select("row_key", rnd("composite", 6).alias("composite"), F.size("breakdown").alias("n_parts"), rnd("adjusted_price", 3).alias("adjusted_price"), rnd(total).alias("weight_total"))
 
 
+_STATE_W, _STATE_LOG, _STATE_USED = (
+    f"CASE WHEN m_reg_state > 0 THEN {x} ELSE 0 END" for x in ("0.30", "0.30 * ln(m_reg_state)", "1")
+)
+
+
+@query("dmd_reg_state", sql(f"""SELECT row_key, m_reg_state, {r('CASE WHEN w > 0 THEN least(greatest(exp(l / w), 0.70), 1.20) ELSE 1.0 END', 6)} AS composite, n_parts FROM
+  (SELECT *, ({_W} + {_STATE_W})::DOUBLE AS w, ({_LOG} + {_STATE_LOG}) AS l, ({_USED} + {_STATE_USED})::INT AS n_parts FROM rx)""", "lf", "m", extra=_DMD))
+def dmd_reg_state(spark, sf):
+    out = demand.demand_adjust(clean.age_features(V.listings(spark, sf), V.REF), V.multipliers(spark, sf), reg_state="reg_state")
+    return out.select("row_key", "m_reg_state", rnd("composite", 6).alias("composite"), F.size("breakdown").alias("n_parts"))
+
+
 # --- catalog and trim ladders -------------------------------------------------------------------
 
 _CLEAN = ("SELECT {0} AS make, {1} AS model, {2} AS variant FROM tp WHERE {0} <> 'Unknown' AND {1} <> 'Unknown' AND {2} <> 'Unknown'").format(s_norm("make0"), s_norm("model0"), s_norm("variant0"))
@@ -297,9 +311,9 @@ def _variants(spark, sf):
     return catalog.catalog(rows, only="variants").select("parent", "name")
 
 
-def _rule_rows() -> str:
+def _rule_rows(tables=V.WORD_LADDERS) -> str:
     rows = []
-    for scope, table in V.WORD_LADDERS.items():
+    for scope, table in tables.items():
         for parent, steps in table.items():
             for level, tokens in enumerate(steps):
                 for token in tokens:
@@ -320,12 +334,16 @@ _VAR = {
 }
 
 
-def _has(tier: int) -> str:
-    return "regexp_matches(red, '(?i)(?:" + "|".join(ladders.token_regex(t) for t in V.WORD_TIERS[tier]) + ")')"
+def _adjusted(tiers) -> str:
+    has = {t: "regexp_matches(red, '(?i)(?:" + "|".join(ladders.token_regex(x) for x in tokens) + ")')" for t, tokens in tiers.items()}
+    return f"""SELECT *, CASE WHEN {has[1]} THEN 1 ELSE greatest(least(CASE WHEN {has[5]} THEN 5 ELSE s4 END, 5), 1) END AS score FROM
+  (SELECT *, CASE WHEN {has[4]} THEN greatest(s2, 4) ELSE s2 END AS s4 FROM (SELECT *, CASE WHEN {has[2]} THEN least(ladder_score, 2) ELSE ladder_score END AS s2 FROM ls))"""
 
 
-_VAR["ad"] = f"""SELECT *, CASE WHEN {_has(1)} THEN 1 ELSE greatest(least(CASE WHEN {_has(5)} THEN 5 ELSE s4 END, 5), 1) END AS score FROM
-  (SELECT *, CASE WHEN {_has(4)} THEN greatest(s2, 4) ELSE s2 END AS s4 FROM (SELECT *, CASE WHEN {_has(2)} THEN least(ladder_score, 2) ELSE ladder_score END AS s2 FROM ls))"""
+_VAR["ad"] = _adjusted(V.WORD_TIERS)
+# The same over the whole ladders. RE2 has no look-ahead: what follows a '+' is part of the match there.
+_TRIM = {**_VAR, "c": V.TRIM_NAMES, "ru": _rule_rows(LADDERS), "ad": _adjusted(TOKEN_TIERS)}
+_TRIM = {k: v.replace(r"(?!\w)", r"(?:\W|$)") for k, v in _TRIM.items()}
 
 
 @query("var_ladder_score", sql("SELECT parent, name, ladder_score::INT AS ladder_score FROM ls", extra=_VAR))
@@ -344,6 +362,14 @@ def var_multiplier(spark, sf):
     return ladders.variant_multipliers(_variants(spark, sf), ladders.ladder_rules(spark, V.WORD_LADDERS), V.WORD_TIERS)
 
 
+@query("var_trim_ladders", sql("""SELECT parent, name, ladder_score::INT AS ladder_score, score::INT AS score,
+  CASE score WHEN 5 THEN 1.07 WHEN 4 THEN 1.04 WHEN 3 THEN 1.00 WHEN 2 THEN 0.97 ELSE 0.94 END::DOUBLE AS multiplier FROM ad""", extra=_TRIM))
+def var_trim_ladders(spark, sf):
+    names = spark.sql(V.TRIM_NAMES.replace("FROM part", "FROM {part}"), part=V.table(spark, sf, "part"))
+    scored = ladders.token_adjust(ladders.ladder_score(names, ladders.default_rules(spark)), TOKEN_TIERS)
+    return scored.withColumn("multiplier", F.round(ladders.score_multiplier(F.col("score")), 2)).select("parent", "name", "ladder_score", "score", "multiplier")
+
+
 # --- audits -------------------------------------------------------------------------------------
 
 _LAST = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY fetched_on DESC NULLS LAST, row_key DESC) AS rn FROM tp) WHERE rn = 1"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from forecourt.operators import demand, dynamics, snapshots
 from forecourt.plans import clean
-from forecourt.trims import Pattern
+from forecourt.trims import LADDERS, Pattern
 
 REF = "2001-12-31 00:00:00"
 MIN_YEAR = 1985
@@ -179,6 +179,7 @@ M_SQL = " UNION ALL ".join([
     _m("60000000 + r_regionkey", "'fuel'", "substring('ANR', r_regionkey + 1, 1)", "''", "CASE r_regionkey WHEN 0 THEN '0.90' ELSE '0.80' END", "region WHERE r_regionkey < 2"),
     _m("70000000 + r_regionkey", "'transmission'", "substring('OF', r_regionkey + 1, 1)", "''", "CASE r_regionkey WHEN 0 THEN '0.80' ELSE '0.85' END", "region WHERE r_regionkey < 2"),
     _m("80000000 + r_regionkey", "CASE WHEN r_regionkey = 0 THEN ' ' ELSE NULL END", "'separator'", "''", "''", "region WHERE r_regionkey < 2"),
+    _m("85000000 + min(p_partkey)", "'reg_state'", "lower(substring(p_type, 1, 2))", "''", "concat('0.9', CAST(min(p_partkey) % 10 AS STRING))", "part WHERE p_type <> 'LARGE' GROUP BY substring(p_type, 1, 2)"),
     _BUCKET_SQL,
 ])
 
@@ -210,3 +211,25 @@ WORD_LADDERS = {
     },
 }
 WORD_TIERS = {5: ["HOT RING", "LARGE GIZMO"], 4: ["PLATE", "HOT"], 2: ["OLD", "RED ROD"], 1: ["SMALL BOLT", "COLD"]}
+
+
+# --- names with the tokens of the whole trim ladders, dealt over the parts -------------------
+
+def _as_name(token: str) -> str:
+    """A name that a token describes: a regular expression without its anchors and escapes."""
+    if isinstance(token, Pattern):
+        for sign, text in ((r"\b", ""), (r"\s*", " "), (r"\s+", " "), ("^", ""), ("$", ""), ("\\", "")):
+            token = token.replace(sign, text)
+    return token.replace("'", "''")
+
+
+def _trim_names() -> str:
+    """Every part takes one token of one ladder, before or after a word of its own name."""
+    tokens = [(scope, parent, t) for scope, table in LADDERS.items() for parent, steps in table.items() for step in steps for t in step]
+    rows = ", ".join(f"({i}, '{scope}', '{parent}', '{_as_name(t)}')" for i, (scope, parent, t) in enumerate(tokens))
+    return f"""SELECT DISTINCT CASE WHEN scope = 'brand' THEN concat(parent, ' | ', p_type) ELSE parent END AS parent,
+      CASE WHEN p_partkey % 2 = 0 THEN concat(lower(token), '  ', split_part(p_name, ' ', 1)) ELSE concat(split_part(p_name, ' ', 1), ' ', token) END AS name
+      FROM part JOIN (VALUES {rows}) AS x(pos, scope, parent, token) ON p_partkey % {len(tokens)} = pos"""
+
+
+TRIM_NAMES = _trim_names()
