@@ -32,17 +32,16 @@ RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example
 
 
 def _markov_sql() -> str:
-    """The models of all orders, each over all of its symbol rows."""
+    """The models of all orders, from the counts of the longest strings."""
     out = []
     for k in range(urls.ORDER + 1):
-        out.append(f"g{k} AS (SELECT code % {32 ** (k + 1)} AS gram, sum(n1) AS n1, sum(n0) AS n0 FROM counts GROUP BY 1)")
-        out.append(f"e{k} AS (SELECT r.gram, coalesce(n1, 0) AS n1, coalesce(n0, 0) AS n0 FROM range({32 ** (k + 1)}) r(gram) LEFT JOIN g{k} USING (gram))")
+        out.append(f"g{k} AS (SELECT right(gram, {k + 1}) AS gram, sum(n1) AS n1, sum(n0) AS n0 FROM counts GROUP BY 1)")
         if not k:
-            out.append("p0 AS (SELECT gram, (n1 + 0.5::DOUBLE) / (sum(n1) OVER () + 16) AS p1, (n0 + 0.5::DOUBLE) / (sum(n0) OVER () + 16) AS p0 FROM e0)")
+            out.append("p0 AS (SELECT gram, (n1 + 0.5::DOUBLE) / (sum(n1) OVER () + 0.5::DOUBLE * count(*) OVER ()) AS p1, (n0 + 0.5::DOUBLE) / (sum(n0) OVER () + 0.5::DOUBLE * count(*) OVER ()) AS p0 FROM g0)")
             continue
-        out.append(f"c{k} AS (SELECT gram >> 5 AS context, sum(n1) AS c1, sum(n0) AS c0, count(*) FILTER (n1 > 0) AS t1, count(*) FILTER (n0 > 0) AS t0 FROM g{k} GROUP BY 1)")
+        out.append(f"c{k} AS (SELECT substr(gram, 1, {k}) AS context, sum(n1) AS c1, sum(n0) AS c0, count(*) FILTER (n1 > 0) AS t1, count(*) FILTER (n0 > 0) AS t0 FROM g{k} GROUP BY 1)")
         mix = ", ".join(f"CASE WHEN c{y} >= 2 THEN (e.n{y} + t{y} * q.p{y}) / (c{y} + t{y})::DOUBLE ELSE q.p{y} END AS p{y}" for y in (1, 0))
-        out.append(f"p{k} AS (SELECT e.gram, {mix} FROM e{k} e LEFT JOIN c{k} ON e.gram >> 5 = context JOIN p{k - 1} q ON e.gram % {32**k} = q.gram)")
+        out.append(f"p{k} AS (SELECT e.gram, {mix} FROM g{k} e JOIN c{k} ON substr(e.gram, 1, {k}) = context JOIN p{k - 1} q ON substr(e.gram, 2) = q.gram)")
     return ",\n".join(out)
 
 
@@ -57,15 +56,12 @@ def _rule_sql(what: str) -> str:
 OP1_SQL = rf"""
 WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{urls.UPPER}', '{urls.LETTERS}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
-d AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS decided, md5(host || path)[1] IN ('0', '1', '2') AS held,
-  regexp_replace(translate(translate(host || path, '{urls.UPPER}', '{urls.LETTERS}'), '0123456789', '0000000000'), '[^a-z0./-]', '_', 'g') AS s FROM b),
-i AS (SELECT page_id, decided, held, s, unnest(range(1, length(s) + 1)) AS i FROM d),
-y AS (SELECT page_id, decided, held, i, instr('{urls.LETTERS}0.-/_', s[i]) AS v FROM i),
-c AS (SELECT *, v + 32 * coalesce(lag(v, 1) OVER w, 0) + 1024 * coalesce(lag(v, 2) OVER w, 0) + 32768 * coalesce(lag(v, 3) OVER w, 0) AS code
-  FROM y WINDOW w AS (PARTITION BY page_id ORDER BY i)),
-counts AS (SELECT code, count(*) FILTER (decided = 'allow') AS n1, count(*) FILTER (decided = 'block') AS n0 FROM c WHERE decided IS NOT NULL AND NOT held GROUP BY code),
+d AS (SELECT *, {_rule_sql("rule")} AS rule, {_rule_sql("verdict")} AS decided, md5(host || path)[1] IN ('0', '1', '2') AS held, translate(host || path, '{urls.UPPER}', '{urls.LETTERS}') AS s FROM b),
+i AS (SELECT page_id, decided, held, repeat(chr(2), {urls.ORDER}) || s AS s, unnest(range(1, length(s) + 1)) AS i FROM d),
+c AS (SELECT page_id, decided, held, substr(s, i, {urls.ORDER + 1}) AS gram FROM i),
+counts AS (SELECT gram, count(*) FILTER (decided = 'allow' AND NOT held) AS n1, count(*) FILTER (decided = 'block' AND NOT held) AS n0 FROM c GROUP BY gram),
 {_markov_sql()},
-z AS (SELECT page_id, sum(ln(p1) - ln(p0)) / count(*) AS score FROM c JOIN p3 ON code = gram GROUP BY page_id),
+z AS (SELECT page_id, sum(ln(p1) - ln(p0)) / count(*) AS score FROM c JOIN p{urls.ORDER} USING (gram) GROUP BY page_id),
 h AS (SELECT greatest(least(floor(coalesce(score, 0) * 100), 3000), -3000)::BIGINT AS step, count(*) FILTER (decided = 'allow') AS n1, count(*) FILTER (decided = 'block') AS n0
   FROM d LEFT JOIN z USING (page_id) WHERE decided IS NOT NULL AND held GROUP BY 1),
 m AS (SELECT step, (coalesce(lag(step) OVER (ORDER BY step) + 1, step) + step) / 200.0::DOUBLE AS middle, coalesce(sum(n1) OVER p, 0) AS lost, coalesce(sum(n0) OVER p, 0) AS caught, sum(n1) OVER () AS t1, sum(n0) OVER () AS t0

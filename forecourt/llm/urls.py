@@ -1,19 +1,21 @@
 """URL filter: listed rules, and a character language-model ratio for all other URLs; DataFrame expressions only.
 
-Host and path are folded to 31 symbols (letters, one for digits, punctuation) and a start
-symbol. URLs that a rule decides train two variable-order Markov models, one of accepted and
-one of rejected URLs: a context of up to three symbols is used where the class has seen it
-``SEEN`` times, and mixes with the next shorter one by Witten-Bell weights, down to smoothed
-single symbols. What the models know fits 32^4 numbers, whatever the input: the logarithm of
-the ratio of both probabilities for each four symbols. That table is broadcast (its size is
-fixed), and only one sum per URL is shuffled. The score is the mean over a URL's symbols. The
-threshold has the best balanced accuracy on decided URLs that were kept from training (3 of
-16, by hash), on a grid of hundredths: halfway between two neighbouring steps seen, the
-lowest such gap if several are as good.
+The symbols are the characters of host and path, A-Z lowered, behind a start symbol. URLs that
+a rule decides train two variable-order Markov models, one of accepted and one of rejected
+URLs: a context of up to five symbols is used where the class has seen it ``SEEN`` times, and
+mixes with the next shorter one by Witten-Bell weights, down to smoothed single symbols. All
+strings of six symbols that occur are counted map-side, so what is learnt grows with the
+input. The logarithm of the ratio of both probabilities is looked up by string: those with
+more than 1 / ``HOT`` of all uses, fewer than ``HOT`` by arithmetic, are broadcast, and only
+the uses of the others are shuffled and joined, of which none is hot. The score is the mean
+over a URL's symbols. The threshold has the best balanced accuracy on decided URLs that were
+kept from training (3 of 16, by hash), on a grid of hundredths (scores beyond 30 count as 30
+there): halfway between two neighbouring steps seen, the lowest such gap if several are as good.
 
 A null URL, or one without ``://``, has an empty host and path, fits no rule and scores 0.
-Without decided URLs of both classes the models say 0 for everything and the threshold is 0:
-all is allowed. Rows are judged each, repeated or not; other columns are ignored.
+URLs that train have no score (null). Without decided URLs of both classes the models say 0
+for everything and the threshold is 0: all is allowed. Rows are judged each, repeated or not;
+other columns are ignored. A character equal to the start symbol counts as it.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from forecourt.llm.common import written
+from forecourt.llm.common import discard, written
 
-BITS, ORDER = 5, 3
-SIZE = 1 << BITS
+ORDER = 5
+START = "\x02"
+HOT = 1 << 18  # strings broadcast at most
 SEEN = 2
 PRIOR = 0.5
 GRID = 100.0  # steps of the threshold in a unit of score
@@ -61,52 +64,65 @@ def decided(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     return d.select("*", rule_column(rules, d["host"], d["path"], "rule").alias("rule"), rule_column(rules, d["host"], d["path"], "verdict").alias("decided"))
 
 
-def codes(url: Column) -> tuple[Column, Column]:
-    """The symbols, and (over a column ``symbols``) each with the three before it, as a number of 20 bits."""
-    folded = F.regexp_replace(F.translate(F.translate(url, UPPER, LETTERS), "0123456789", "0000000000"), "[^a-z0./-]", "_")
-    letters = F.translate(folded, LETTERS + "0.-/_", UPPER + "[\\]^_")
-    symbols = F.transform(F.array_remove(F.split(letters, ""), ""), lambda c: F.ascii(c) - 64)
-    before = lambda i, k: F.coalesce(F.get(F.col("symbols"), i - k), F.lit(0)) * SIZE**k
-    return symbols, F.transform("symbols", lambda s, i: s + before(i, 1) + before(i, 2) + before(i, 3))
-
-
 def coded(d: DataFrame) -> DataFrame:
-    symbols, grams = codes(F.concat("host", "path"))
-    held = F.substring(F.md5(F.concat("host", "path").cast("binary")), 1, 1).isin("0", "1", "2")
-    return d.select("*", symbols.alias("symbols"), held.alias("held")).withColumn("codes", grams)
-
-
-def log_ratios(d: DataFrame) -> DataFrame:
-    """(code, llr) of every four symbols: 32^4 rows, from counts over all training URLs."""
-    seen = d.where("decided IS NOT NULL AND NOT held").select((F.col("decided") == "allow").alias("y"), F.explode("codes").alias("code"))
-    counts = written(seen.groupBy("code").agg(F.count_if("y").alias("n1"), F.count_if(~F.col("y")).alias("n0")), "symbols")  # 32^4 rows at most
-    spark = d.sparkSession
-    probs = None
-    for order in range(ORDER + 1):
-        width = SIZE ** (order + 1)
-        grams = counts.groupBy((F.col("code") % width).cast("int").alias("gram")).agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-        every = spark.range(width).select(F.col("id").cast("int").alias("gram")).join(grams, "gram", "left").fillna(0)
-        if order == 0:
-            total = every.agg(F.sum("n1").alias("t1"), F.sum("n0").alias("t0"))
-            n = lambda y: total.select(f"t{y}").scalar()
-            probs = every.select("gram", *[((F.col(f"n{y}") + PRIOR) / (n(y) + PRIOR * SIZE)).alias(f"p{y}") for y in (1, 0)])
-            continue
-        contexts = grams.groupBy(F.shiftright("gram", BITS).alias("context")).agg(
-            *[F.sum(f"n{y}").alias(f"c{y}") for y in (1, 0)], *[F.count_if(F.col(f"n{y}") > 0).alias(f"t{y}") for y in (1, 0)]
-        )
+    """The folded URL's symbols, numbered rows, and which of them neither train nor need a score."""
+    whole = F.concat("host", "path")
+    held = F.substring(F.md5(whole.cast("binary")), 1, 1).isin("0", "1", "2")
+    trains = F.col("decided").isNotNull() & ~held
+    return d.select("*", held.alias("held"), trains.alias("trains"), F.translate(whole, UPPER, LETTERS).alias("symbols"), F.monotonically_increasing_id().alias("row"))
+
+
+def grams(symbols: Column) -> Column:
+    """Each symbol behind the ``ORDER`` before it: as many strings of ORDER + 1 as there are symbols, in linear time."""
+    each = F.concat(F.array_repeat(F.lit(START), ORDER), F.array_remove(F.split(symbols, ""), ""))
+    string = lambda a, s, i: F.concat(*[F.get(a, i + k) for k in range(ORDER)], s)
+    # As a lambda's variable the array of symbols is made once, not once for every string.
+    return F.transform(F.array(each), lambda a: F.transform(F.slice(a, ORDER + 1, F.size(a)), lambda s, i: string(a, s, i)))[0]
+
+
+def counted(d: DataFrame) -> DataFrame:
+    """(gram, n1, n0, uses): occurrences in accepted and in rejected training URLs, and in URLs to be scored."""
+    each = d.select("trains", "decided", F.explode(grams(F.col("symbols"))).alias("gram"))
+    n = lambda verdict: F.count_if(F.col("trains") & (F.col("decided") == verdict))
+    return each.groupBy("gram").agg(n("allow").alias("n1"), n("block").alias("n0"), F.count_if(~F.col("trains")).alias("uses"))
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, uses, llr) of every string that URLs to be scored hold. The shorter strings are ends of the counted ones, so all come from their counts."""
+    ends = F.transform(F.sequence(F.lit(1), F.lit(ORDER + 1)), lambda n: F.right(F.col("gram"), n))
+    short = counts.select(F.explode(ends).alias("gram"), "n1", "n0").groupBy("gram").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    levels = written(short.withColumn("context", F.expr("left(gram, length(gram) - 1)")), "levels")
+    contexts = levels.where("n1 + n0 > 0").groupBy("context").agg(
+        *[F.sum(f"n{y}").alias(f"c{y}") for y in (1, 0)], *[F.count_if(F.col(f"n{y}") > 0).alias(f"t{y}") for y in (1, 0)]
+    )
+    models = levels.join(contexts, "context", "left")
+    of = lambda order: models.where(F.length("gram") == order + 1)
+    symbols = of(0).agg(F.count(F.lit(1))).scalar()
+    start = lambda y: (F.col(f"n{y}") + PRIOR) / (F.coalesce(f"c{y}", F.lit(0)) + PRIOR * symbols)
+    probs = of(0).select("gram", start(1).alias("p1"), start(0).alias("p0"))
+    mixed = lambda y: F.when(F.col(f"c{y}") >= SEEN, (F.col(f"n{y}") + F.col(f"t{y}") * F.col(f"q{y}")) / (F.col(f"c{y}") + F.col(f"t{y}"))).otherwise(F.col(f"q{y}"))
+    for order in range(1, ORDER + 1):
         shorter = probs.select(F.col("gram").alias("suffix"), F.col("p1").alias("q1"), F.col("p0").alias("q0"))
-        every = every.withColumns({"context": F.shiftright("gram", BITS), "suffix": (F.col("gram") % SIZE**order).cast("int")})
-        every = every.join(contexts, "context", "left").join(shorter, "suffix")
-        mixed = lambda y: F.when(F.col(f"c{y}") >= SEEN, (F.col(f"n{y}") + F.col(f"t{y}") * F.col(f"q{y}")) / (F.col(f"c{y}") + F.col(f"t{y}"))).otherwise(F.col(f"q{y}"))
+        every = of(order).withColumn("suffix", F.expr("substring(gram, 2)")).join(shorter, "suffix")
         probs = every.select("gram", mixed(1).alias("p1"), mixed(0).alias("p0"))
-    return probs.select(F.col("gram").alias("code"), (F.log("p1") - F.log("p0")).alias("llr"))
+    used = counts.where("uses > 0").select("gram", "uses")
+    ratios = written(used.join(probs, "gram").select("gram", "uses", (F.log("p1") - F.log("p0")).alias("llr")), "ratios")
+    discard(levels)
+    return ratios
 
 
 def scored(d: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Add the score. The table of ratios has 32^4 rows for any input, so it may be broadcast; a URL's symbols stay in one task."""
-    each = d.withColumn("row", F.monotonically_increasing_id()).select("*", F.explode_outer("codes").alias("code")).drop("codes", "symbols")
-    whole = each.join(F.broadcast(ratios), "code", "left").groupBy("row", "page_id", "host", "path", "rule", "decided", "held")
-    return whole.agg((F.coalesce(F.sum("llr"), F.lit(0.0)) / F.count(F.lit(1))).alias("score"))
+    """Add the score of the URLs that do not train. Fewer than HOT strings can have more than 1 / HOT of all uses: these are broadcast."""
+    least = ratios.agg(F.sum("uses")).scalar() / HOT
+    hot = ratios.where(F.col("uses") > least).select("gram", "llr")
+    tail = ratios.where(F.col("uses") <= least).select("gram", "llr")
+    each = d.where("NOT trains").select("row", F.explode(grams(F.col("symbols"))).alias("gram")).join(F.broadcast(hot), "gram", "left")
+    sums = F.sum("llr").alias("llr"), F.count(F.lit(1)).alias("n")
+    near = each.where("llr IS NOT NULL").groupBy("row").agg(*sums)
+    far = each.where("llr IS NULL").select("row", "gram").join(tail, "gram").groupBy("row").agg(*sums)
+    whole = near.unionByName(far).groupBy("row").agg((F.sum("llr") / F.sum("n")).alias("score"))
+    score = F.when(~F.col("trains"), F.coalesce("score", F.lit(0.0)))
+    return d.drop("symbols").join(whole, "row", "left").withColumn("score", score)
 
 
 def threshold(d: DataFrame) -> DataFrame:
@@ -127,7 +143,12 @@ def threshold(d: DataFrame) -> DataFrame:
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]]) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) of every row."""
-    d = coded(decided(pages, rules))
-    d = written(scored(d, written(log_ratios(d), "ratios")), "scored")
+    d = written(coded(decided(pages, rules)), "coded")
+    counts = written(counted(d), "counts")
+    ratios = log_ratios(counts)
+    discard(counts)
+    scores = written(scored(d, ratios), "scored")
+    discard(d, ratios)
+    d = scores
     own = F.when(F.col("score") >= threshold(d).scalar(), "allow").otherwise("block")
     return d.select("page_id", "host", "path", "rule", F.coalesce("decided", own).alias("verdict"), "score")

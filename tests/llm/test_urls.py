@@ -34,3 +34,16 @@ def test_models_tell_urls_apart(spark):
 def test_without_training_all_is_allowed(spark):
     assert [r.verdict for r in urls.judge(pages(spark, ["http://a.org/x", None, "http://a.org/x"]), RULES).collect()] == ["allow"] * 3
     assert urls.judge(pages(spark, []), RULES).count() == 0
+
+
+def test_long_contexts_of_real_characters_and_joined_strings(spark, monkeypatch):
+    good = [f"http://a{i % 7}.com/item-2024-{'äöü'}" for i in range(120)]
+    bad = [f"http://a{i % 7}.net/es/item-2023-{'àòù'}" for i in range(120)]
+    asked = ["http://q.org/item-2024-äöü", "http://q.org/item-2023-àòù"] * 2
+    whole = urls.judge(pages(spark, good + bad + asked), RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in whole[240:]] == ["allow", "block"] * 2
+    assert all((r.score is None) <= (r.rule is not None) for r in whole)
+    monkeypatch.setattr(urls, "HOT", 8)  # nearly all strings by the join instead of the broadcast
+    joined = urls.judge(pages(spark, good + bad + asked), RULES).orderBy("page_id").collect()
+    assert [r.verdict for r in joined] == [r.verdict for r in whole]
+    assert all(a.score == b.score or abs(a.score - b.score) < 1e-9 for a, b in zip(joined, whole))
