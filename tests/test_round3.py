@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from forecourt.operators import folds, lookups, quantiles
+from forecourt.operators import encodings, folds, lookups, quantiles
 
 
 @pytest.mark.parametrize("gather", [0, 20, 10**6])
@@ -57,3 +57,15 @@ def test_market_out_of_fold_equals_a_fit_without_the_fold(spark):
         for r in fitted.apply(df.where(F.col("fold") == j)).collect():
             for c in lookups.K.MARKET_FEATURES:
                 assert math.isclose(r[c], got[r.listing_id][c], rel_tol=1e-9, abs_tol=1e-9), (r.listing_id, c)
+
+
+def test_encoding_and_anchors_read_a_long_plan_once(spark):
+    """What is found for keys is a table of its own, so that steps in a row do not multiply each other's plans."""
+    rows = [(str(i), "m", f"n{i % 3}", f"v{i % 4}", "c", float(10 + i % 7)) for i in range(90)]
+    df = folds.group_fold(spark.createDataFrame(rows, "listing_id string, make string, model string, variant string, city string, price double"), k=3)
+    df = df.localCheckpoint()
+    encoded = encodings.oof_target_encoding(df, F.log("price"), 3)
+    both = lookups.oof_price_anchor(encoded, 3, source=df)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") <= 6
+    plain = lookups.oof_price_anchor(df, 3).select("listing_id", "price_anchor").collect()
+    assert {tuple(r) for r in both.select("listing_id", "price_anchor").collect()} == {tuple(r) for r in plain}
