@@ -6,13 +6,13 @@ of SimHash fingerprints (equal ones and those at most two bits apart) and, as co
 differ in more bits than such tables reach, from 24 bands of five minimum hashes: of pairs at
 0.8 one in 14000 (0.67^24) shares no band, of closer ones fewer.
 
-Buckets are never compared pair by pair. Each of ``ROUNDS`` rounds chooses a leader in every
-bucket that still holds several components (outside the largest one, from the second round
-on, and never the same again), the node with most company in all its buckets, and compares it
-with the bucket's nodes of other components. The last round also compares every node with the
-``NEXT`` that follow when the bucket is sorted by further minimum hashes, which brings the
-most similar together. So a round is linear in the buckets' sizes, and buckets of up to
-``ROUNDS`` + 1 nodes are compared in full.
+Nodes of one fingerprint share a bucket too. Each of the rounds before the last chooses a leader in
+every bucket that still holds several components (outside the largest one, from the second
+round on, and never the same again), the node with most company in all its buckets, and compares
+it with the bucket's nodes of other components: a round is linear in the buckets' sizes and
+leaves few components. The last round compares all nodes of a bucket that are still in different
+components, in tiles of ``TILE`` by ``TILE`` nodes, so that no candidate is left out and no task
+holds a bucket. Pairs whose sizes alone exclude 0.8 are never written.
 
 Only texts in a comparison get their sets written, chosen by a bitmap of fixed size, and sets
 travel once for each pair. What a round has written is deleted when its links are known.
@@ -40,12 +40,12 @@ from forecourt.llm.simhash import first_rows, keyed
 SHINGLE = 5
 BANDS, ROWS = 24, 5
 ROUNDS = 3
-NEXT = 4
+TILE = 256
 SEED = 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _FACTORS[0] |= np.uint64(1)
 
-SKETCH = "doc_id long, text_hash long, node binary, size int, fp long, bands array<long>, beyond array<long>"
+SKETCH = "doc_id long, text_hash long, node binary, size int, fp long, bands array<long>"
 SETS = "node binary, grams array<long>"
 
 
@@ -64,22 +64,20 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(grams(text))
 
 
-def bands(hashes: np.ndarray) -> tuple[list[int], list[int]]:
-    """A key for each band, and eight bits of each of the eight minima that follow it; a set without shingles has none."""
+def bands(hashes: np.ndarray) -> tuple[list[int]]:
+    """A key for each band; a set without shingles has none."""
     if not len(hashes):
-        return [], []
+        return ([],)
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(hashes), 1 << 10):
         least = np.minimum(least, (hashes[at : at + (1 << 10), None] * _FACTORS[0] + _FACTORS[1]).min(axis=0))
-    low = (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8)
-    beyond = [int(np.roll(low, -ROWS * (i + 1))[:8].view(">i8")[0]) for i in range(BANDS)]
-    return [xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))], beyond
+    return ([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))],)
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """Key, node (a hash of the set), size, fingerprint and bands of every row."""
     names = [c.split()[0] for c in SKETCH.split(", ")]
-    types = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    types = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -147,8 +145,9 @@ def _close(a: str, b: str) -> str:
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, beyond, company) of the nodes in buckets of two or more; company: over all a node's buckets."""
-    placed = nodes.select("node", "size", F.explode(F.arrays_zip("bands", "beyond")).alias("b")).select(F.col("b.bands").alias("key"), "node", "size", F.col("b.beyond").alias("beyond"))
+    """(key, node, size, company) of the nodes in buckets of two or more; company: over all a node's buckets."""
+    keys = F.when(F.col("size") > 0, F.concat("bands", F.array(F.xxhash64("fp"))))
+    placed = nodes.select("node", "size", F.explode(keys).alias("key")).select("key", "node", "size")
     buckets = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     marks = written(bitmap(buckets.select(bit_of(F.col("key")))), "marks")
     _, shared = split_by_keys(placed, bit_of(F.col("key")), marks)  # most bands are in no other node: they stay where they are
@@ -159,7 +158,7 @@ def _members(nodes: DataFrame) -> DataFrame:
     return members
 
 
-def _candidates(members: DataFrame, roots: DataFrame | None, led: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame]:
+def _candidates(members: DataFrame, roots: DataFrame | None, led: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (a, b) of a round, and the leaders (key, node) of all rounds so far."""
     if roots is None:
         named = members.withColumn("root", F.col("node"))
@@ -170,54 +169,43 @@ def _candidates(members: DataFrame, roots: DataFrame | None, led: DataFrame | No
         mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         named = written(named.join(mixed.select("key", "main"), "key"), "named")
         free = named.where("root <> main").join(led, ["key", "node"], "left_anti")
+    if last:
+        return _distinct(_rest(named)), led
     lead = free.groupBy("key").agg(F.max(F.struct("company", "node", "size", "root")).alias("l"))
     lead = written(lead.select("key", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.root").alias("root_a")), "leads")
     pairs = named.join(lead, "key").where("root <> root_a").where(_close("size_a", "size")).select("a", F.col("node").alias("b"))
-    if last:
-        pairs = pairs.unionByName(_neighbours(named))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     leaders = lead.select("key", F.col("a").alias("node"))
-    return pairs, leaders if led is None else led.unionByName(leaders)
+    return _distinct(pairs), leaders if led is None else led.unionByName(leaders)
 
 
-def _neighbours(named: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components among ``NEXT`` that follow each other in a bucket, sorted by range over all buckets."""
+def _distinct(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before = None
-        for batch in batches:
-            both = pa.concat_tables([pa.Table.from_batches([b]) for b in (before, batch) if b is not None]).combine_chunks()
-            key, size = both.column("key").to_numpy(), both.column("size").to_numpy()
-            node, root = (np.array(both.column(c).to_pylist(), object) for c in ("node", "root"))
-            old, a, b = len(both) - batch.num_rows, [], []
-            for k in range(1, NEXT + 1):
-                at = np.arange(max(old, k), len(both))
-                other = at - k
-                small, large = np.minimum(size[at], size[other]), np.maximum(size[at], size[other])
-                fine = (key[at] == key[other]) & (root[at] != root[other]) & (5 * small >= 4 * large)
-                a += node[other[fine]].tolist()
-                b += node[at[fine]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-            before = both.slice(max(len(both) - NEXT, 0)).to_batches()[0] if len(both) else None
-
-    ordered = named.select("key", "beyond", "node", "size", "root").repartitionByRange("key", "beyond", "node").sortWithinPartitions("key", "beyond", "node")
-    return map_arrow(ordered.select("key", "node", "size", "root"), run, "a binary, b binary")
+
+def _rest(named: DataFrame) -> DataFrame:
+    """Pairs of nodes of one bucket and different components: each tile of a bucket meets each, in a group of its own."""
+    tiles = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    dealt = named.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
+    one = dealt.select("key", F.col("tile").alias("ta"), every.alias("tb"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
+    two = dealt.select("key", every.alias("ta"), F.col("tile").alias("tb"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
+    return one.join(two, ["key", "ta", "tb"]).where("a < b AND root_a <> root_b").where(_close("size_a", "size_b")).select("a", "b")
 
 
 def links(docs: DataFrame, sketched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the nodes of all components of several, but the roots."""
-    head = F.min_by(F.struct("doc_id", "text_hash", "size", "fp", "bands", "beyond"), F.struct("doc_id", "text_hash")).alias("h")
+    head = F.min_by(F.struct("doc_id", "text_hash", "size", "fp", "bands"), F.struct("doc_id", "text_hash")).alias("h")
     nodes = written(sketched.groupBy("node").agg(head).select("node", "h.*"), "nodes")
     members = _members(nodes)
     pairs, led = _candidates(members, None, None, rounds == 1)
-    pairs = written(pairs.unionByName(_by_fingerprint(nodes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "pairs")
+    pairs = written(_distinct(pairs.unionByName(_by_fingerprint(nodes))), "pairs")
     near = _similar(docs, pairs, nodes)
     found, seen = written(components(near), "found"), pairs
     for r in range(1, rounds):
         pairs, led = _candidates(members, found, led, r == rounds - 1)
         pairs = written(pairs.join(seen, ["a", "b"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            continue  # the last round may still have some
         more, last = _similar(docs, pairs, nodes), found
         if not more.isEmpty():
             near = near.unionByName(more)
