@@ -92,7 +92,7 @@ _MARKET_ROWS = " UNION ALL ".join(
 
 @query("agg_market_history", sql(f"SELECT rank, {', '.join(_ALL)}, n, {rs(MARKET, 6)} FROM u", "mbase", extra={"top": _TOP, "mf": _MF, **_level_tables("mf"), "u": _MARKET_ROWS}))
 def agg_market_history(spark, sf):
-    fitted = lookups.fit_market_history(V.market_base(spark, sf), N_TOP, V.MARKET_LEVELS)
+    fitted = lookups.fit_market_history(V.market_base(spark, sf, V.MARKET_COLUMNS), N_TOP, V.MARKET_LEVELS)
     return rounded(fitted.stats, K.MARKET_FEATURES, 6)
 
 
@@ -115,7 +115,7 @@ _DEFAULT = """median(price) AS market_median_price, median(pressure_score) AS ma
 @query("jon_market_backoff", sql(_market_pick("x.listing_id, x.variant_grouped", "mf"), "mbase", extra={
     "top": _TOP, "mf": _MF, **_level_tables("mf"), "dflt": f"SELECT ln(1 + count(*)) AS market_count_log, {_DEFAULT} FROM mf"}))
 def jon_market_backoff(spark, sf):
-    base = materialize(V.market_base(spark, sf))
+    base = materialize(V.market_base(spark, sf, V.MARKET_COLUMNS))
     out = lookups.fit_market_history(base, N_TOP, V.MARKET_LEVELS).apply(base)
     return rounded(out.select("listing_id", "variant_grouped", *K.MARKET_FEATURES), K.MARKET_FEATURES, 6)
 
@@ -133,7 +133,7 @@ _OOF_MARKET = {
 
 @query("agg_oof_market", sql(_market_pick("x.listing_id, x.own::INT AS fold, x.variant_grouped", "xf", "hold"), "mbase", extra=_OOF_MARKET))
 def agg_oof_market(spark, sf):
-    base = materialize(folds.group_fold(V.market_base(spark, sf), k=K.INNER_FOLDS))
+    base = materialize(folds.group_fold(V.market_base(spark, sf, V.MARKET_COLUMNS), k=K.INNER_FOLDS))
     out = lookups.oof_market_features(base, n_variants=N_TOP, levels=V.MARKET_LEVELS)
     return rounded(out.select("listing_id", "fold", "variant_grouped", *K.MARKET_FEATURES), K.MARKET_FEATURES, 6)
 
@@ -285,10 +285,10 @@ _STRAT = """SELECT listing_id, price, 1 + (lp > e1)::INT + (lp > e2)::INT + (lp
 @query("spl_stratified", sql(f"""SELECT listing_id, stratum::INT AS stratum, CASE WHEN rn <= ceil(n * 0.7::DOUBLE) THEN 'train' WHEN rn <= ceil(n * 0.85::DOUBLE) THEN 'valid' ELSE 'test' END AS split FROM
   (SELECT listing_id, stratum, row_number() OVER (PARTITION BY stratum ORDER BY {s_unit('listing_id', '42:')}) AS rn, count(*) OVER (PARTITION BY stratum) AS n FROM s)""", "lfirst", extra={"s": _STRAT}))
 def spl_stratified(spark, sf):
-    rows = V.first_listings(spark, sf).select("listing_id", "price")
+    rows = V.first_listings(spark, sf, ["listing_id", "price"]).select("listing_id", "price")
     return folds.stratified_split(rows, "listing_id").select("listing_id", "stratum", "split")
 
 
 @query("spl_sample_n", sql(f"SELECT listing_id, price FROM lfirst ORDER BY {s_unit('listing_id', '42:')} LIMIT 700", "lfirst"))
 def spl_sample_n(spark, sf):
-    return folds.sample_n(V.first_listings(spark, sf).select("listing_id", "price"), "listing_id", 700)
+    return folds.sample_n(V.first_listings(spark, sf, ["listing_id", "price"]).select("listing_id", "price"), "listing_id", 700)
