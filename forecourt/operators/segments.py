@@ -11,6 +11,7 @@ from forecourt.functions import bands
 from forecourt.functions.numbers import finite
 from forecourt.functions.text import blank_to_null
 from forecourt.operators import metrics, quantiles as q
+from forecourt.session import materialize, stored
 
 # Dimension -> how many segments of it to report, most frequent first.
 TOP_DIMENSIONS = {"make": 10, "city": 10}
@@ -114,7 +115,12 @@ def detail_rows(df: DataFrame, actual: str = "price", pred: str = "prediction",
 
 
 def worst_segments(detail: DataFrame, rules: Mapping[str, tuple[int, int]] = WORST) -> DataFrame:
-    """Segments with the highest MAPE per dimension, among those with enough rows."""
+    """Segments with the highest MAPE per dimension, among those with enough rows.
+
+    Rows are stored, as prices are hardly ever equal: counting equal ones would ship every row once for each dimension.
+    Medians are looked up for the listed segments only, of which there are at most as many as ``rules`` allow.
+    """
+    detail = stored(detail.select(*rules, "actual_price", "predicted_price"), "detail")
     pairs = F.array(*[F.struct(F.lit(c).alias("segment_type"), F.col(c).alias("segment_value")) for c in rules])
     rows = detail.select(F.explode(pairs).alias("__s"), "actual_price", "predicted_price")
     rows = rows.select("__s.*", "actual_price", "predicted_price")
@@ -126,5 +132,7 @@ def worst_segments(detail: DataFrame, rules: Mapping[str, tuple[int, int]] = WOR
     needed = F.try_element_at(F.create_map(*[F.lit(x) for c, (_, m) in rules.items() for x in (c, m)]), F.col("segment_type"))
     order = Window.partitionBy("segment_type").orderBy(F.desc("mape"), F.desc("rows"), F.asc("segment_value"))
     worst = table.where(F.col("rows") >= needed).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    medians = q.medians(rows, keys, "actual_price", "median_actual").drop("n")
+    worst = materialize(worst)
+    listed = rows.join(F.broadcast(worst.select(*keys)), keys, "left_semi").withColumn("__one", F.lit(1))
+    medians = q.medians(listed, keys, "actual_price", "median_actual", weight="__one").drop("n")
     return worst.join(medians, keys, "left")

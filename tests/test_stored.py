@@ -1,10 +1,11 @@
 """Texts are parsed once a row, and features of stored rows come from methods that the JVM compiles."""
 
 import re
+from statistics import median
 
 from pyspark.sql import functions as F
 
-from forecourt.operators import encodings, schema
+from forecourt.operators import encodings, schema, segments
 from forecourt.plans import clean
 from forecourt.session import stored
 from forecourt.workload import views as V
@@ -58,3 +59,17 @@ def test_stored_rows_are_the_rows(spark):
     for rows in (df, df.drop("v")):
         assert sorted(map(str, stored(rows).collect())) == sorted(map(str, rows.collect()))
     assert "spark_partition" not in _plan(stored(df.drop("v"))) and "relation" in _plan(stored(df.drop("v"))).lower()
+
+
+def test_worst_segments_look_medians_up_for_listed_segments_only(spark):
+    detail = spark.range(4000).select(
+        F.format_string("m%02d", F.col("id") % 40).alias("make"), F.lit(None).cast("string").alias("fuel"),
+        (F.col("id") + 1.0).alias("actual_price"), (F.lit(2.0) * (F.col("id") + 1.0) + F.col("id") % 40).alias("predicted_price"),
+    )
+    found = segments.worst_segments(detail, {"make": (3, 30), "fuel": (10, 20)})
+    plan = _plan(found)
+    assert "explode" in plan and "LeftSemi" in plan  # only the medians still read the rows
+    got = {(r["segment_type"], r["segment_value"]): (r["rows"], r["median_actual"]) for r in found.collect()}
+    assert len(got) == 4 and got.pop(("fuel", None)) == (4000, None)
+    for (_, make), facts in got.items():
+        assert facts == (100, median(i + 1.0 for i in range(4000) if f"m{i % 40:02d}" == make))
