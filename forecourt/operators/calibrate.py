@@ -10,7 +10,7 @@ from forecourt import constants as K
 from forecourt.functions.numbers import clip, finite
 from forecourt.operators import quantiles as q
 from forecourt.operators.skew import ROWS, attach
-from forecourt.session import materialize
+from forecourt.session import materialize, stored
 
 MIN_SEGMENT_ROWS = 20
 FACTOR_RANGE = (0.4, 1.6)
@@ -30,17 +30,18 @@ def _valid(df: DataFrame, actual: str, pred: str, segment: str) -> DataFrame:
 def segment_factors(df: DataFrame, actual: str = "price", pred: str = "prediction", segment: str = "segment") -> DataFrame:
     """(scope, segment, n, factor): median of actual / prediction per segment and over all rows.
 
-    Segments with few rows take the overall factor. Factors are clipped.
+    Segments with few rows take the overall factor. Factors are clipped. Ratios are hardly ever equal: they are stored
+    and read again, counting once each (``weight``), as counting equal ones would ship them all.
     """
-    rows = _valid(df, actual, pred, segment)
     ratio = F.col("actual") / F.greatest("pred", F.lit(1.0))
+    rows = stored(_valid(df, actual, pred, segment).select("segment", ratio.alias("ratio")), "ratios")
     scopes = F.array(
         F.struct(F.lit("segment").alias("scope"), F.col("segment")),
         F.struct(F.lit("global").alias("scope"), F.lit("*").alias("segment")),
     )
-    long = rows.select(F.explode(scopes).alias("s"), ratio.alias("ratio")).select("s.*", "ratio")
-    meds = q.medians(long, ["scope", "segment"], "ratio", "__m")
-    overall = q.median_scalar(rows, ratio)
+    long = rows.select(F.explode(scopes).alias("s"), "ratio", F.lit(1).alias("__one")).select("s.*", "ratio", "__one")
+    meds = materialize(q.medians(long, ["scope", "segment"], "ratio", "__m", weight="__one"))
+    overall = meds.where("scope = 'global'").select("__m").scalar()
     enough = (F.col("scope") == "global") | (F.col("n") >= MIN_SEGMENT_ROWS)
     return meds.select(
         "scope", "segment", "n", clip(F.when(enough, F.col("__m")).otherwise(overall), *FACTOR_RANGE).alias("factor")
@@ -108,6 +109,8 @@ class Calibration:
 
 
 def fit_calibration(df: DataFrame, actual: str = "price", pred: str = "prediction", segment: str = "segment") -> Calibration:
+    df = stored(_valid(df, actual, pred, segment), "valid")  # read by each step
+    actual, pred, segment = "actual", "pred", "segment"
     factors = materialize(segment_factors(df, actual, pred, segment))
     linear = materialize(linear_step(df, factors, actual, pred, segment))
     scores = candidate_scores(df, factors, linear, actual, pred, segment)

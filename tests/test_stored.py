@@ -5,7 +5,7 @@ from statistics import median
 
 from pyspark.sql import functions as F
 
-from forecourt.operators import encodings, schema, segments
+from forecourt.operators import calibrate, encodings, schema, segments
 from forecourt.plans import clean
 from forecourt.session import stored
 from forecourt.workload import views as V
@@ -61,6 +61,23 @@ def test_stored_rows_are_the_rows(spark):
     assert "spark_partition" not in _plan(stored(df.drop("v"))) and "relation" in _plan(stored(df.drop("v"))).lower()
 
 
+def test_segment_factors_do_not_ship_ratios(spark):
+    rows = spark.range(6000).select(
+        (F.col("id") + 1.0).alias("price"), F.lit(3000.0).alias("prediction"),
+        F.when(F.col("id") % 600 == 0, "few").when(F.col("id") % 2 == 0, "even").alias("segment"),
+    )
+    found = calibrate.segment_factors(rows)
+    assert "ratio" not in _plan(found)  # the table of medians is small and known
+    ratio = lambda keep: median((i + 1.0) / 3000.0 for i in range(6000) if keep(i))
+    clipped = lambda v: min(max(v, 0.4), 1.6)
+    wanted = {
+        ("segment", "few", 10): clipped(ratio(lambda i: True)), ("global", "*", 6000): clipped(ratio(lambda i: True)),
+        ("segment", "even", 2990): clipped(ratio(lambda i: i % 2 == 0 and i % 600)), ("segment", "Unknown", 3000): clipped(ratio(lambda i: i % 2)),
+    }
+    got = {(r["scope"], r["segment"], r["n"]): r["factor"] for r in found.collect()}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-12 for k in wanted)
+
+
 def test_worst_segments_look_medians_up_for_listed_segments_only(spark):
     detail = spark.range(4000).select(
         F.format_string("m%02d", F.col("id") % 40).alias("make"), F.lit(None).cast("string").alias("fuel"),
