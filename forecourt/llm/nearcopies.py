@@ -12,7 +12,13 @@ round on, and never the same again), the node with most company in all its bucke
 it with the bucket's nodes of other components: a round is linear in the buckets' sizes and
 leaves few components. The last round compares all nodes of a bucket that are still in different
 components, in tiles of ``TILE`` by ``TILE`` nodes, so that no candidate is left out and no task
-holds a bucket. Pairs whose sizes alone exclude 0.8 are never written.
+holds a bucket. Pairs whose sizes or odd bits exclude 0.8 are never written.
+
+A set's odd bits say of each of 512 classes of shingles whether the set holds an odd number of them.
+Where two sets' bits differ, at least one shingle is in only one of them, so that the number of
+differing bits bounds their difference from below: no link is lost. In a group whose members are all
+somewhat alike, nearly all pairs below 0.8 end there, as a count of bits inside the join. Sets of more
+than about 800 shingles differ in too many bits to tell, and are compared as before.
 
 Only texts in a comparison get their sets written, chosen by a bitmap of fixed size, and sets
 travel once for each pair. What a round has written is deleted when its links are known.
@@ -41,11 +47,12 @@ SHINGLE = 5
 BANDS, ROWS = 24, 5
 ROUNDS = 3
 TILE = 256
+ODD = 8  # longs of odd bits
 SEED = 42
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
 _FACTORS[0] |= np.uint64(1)
 
-SKETCH = "doc_id long, text_hash long, node binary, size int, fp long, bands array<long>"
+SKETCH = "doc_id long, text_hash long, node binary, size int, fp long, bands array<long>, odd array<long>"
 SETS = "node binary, grams array<long>"
 
 
@@ -74,10 +81,16 @@ def bands(hashes: np.ndarray) -> tuple[list[int]]:
     return ([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(least.reshape(BANDS, ROWS))],)
 
 
+def odd_bits(hashes: np.ndarray) -> list[int]:
+    """A bit for each class of distinct hashes: whether their number is odd."""
+    odd = np.bincount((hashes & np.uint64(64 * ODD - 1)).astype(np.int64), minlength=64 * ODD) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8").tolist()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """Key, node (a hash of the set), size, fingerprint and bands of every row."""
+    """Key, node (a hash of the set), size, fingerprint, bands and odd bits of every row."""
     names = [c.split()[0] for c in SKETCH.split(", ")]
-    types = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.binary(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -86,7 +99,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 all_of_them = grams(text)
                 distinct = np.unique(all_of_them)
                 fp = int(np.uint64(simhash.majority(all_of_them)).view(np.int64))
-                found.append((xxhash.xxh3_128_digest(distinct.tobytes()), len(distinct), fp, *bands(distinct)))
+                found.append((xxhash.xxh3_128_digest(distinct.tobytes()), len(distinct), fp, *bands(distinct), odd_bits(distinct)))
             columns = [batch.column("doc_id"), batch.column("text_hash"), *[pa.array(c, t) for c, t in zip(zip(*found), types)]]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -144,8 +157,14 @@ def _close(a: str, b: str) -> str:
     return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"  # no similarity is above the sizes' ratio
 
 
+def _even(a: str, b: str) -> str:
+    """Whether columns ``odd{a}`` and ``odd{b}`` allow 0.8: then 9 times the difference is at most both sizes. Without bits, yes."""
+    differing = " + ".join(f"bit_count(get(odd{a}, {i}) ^ get(odd{b}, {i}))" for i in range(ODD))
+    return f"coalesce(9 * ({differing}) <= size{a} + size{b}, true)"
+
+
 def _members(nodes: DataFrame) -> DataFrame:
-    """(key, node, size, company) of the nodes in buckets of two or more; company: over all a node's buckets."""
+    """(key, node, size, company, odd) of the nodes in buckets of two or more; company: over all a node's buckets."""
     keys = F.when(F.col("size") > 0, F.concat("bands", F.array(F.xxhash64("fp"))))
     placed = nodes.select("node", "size", F.explode(keys).alias("key")).select("key", "node", "size")
     buckets = written(placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
@@ -153,13 +172,15 @@ def _members(nodes: DataFrame) -> DataFrame:
     _, shared = split_by_keys(placed, bit_of(F.col("key")), marks)  # most bands are in no other node: they stay where they are
     together = written(shared.join(buckets, "key"), "together")
     company = together.groupBy("node").agg(F.sum("n").alias("company"))
-    members = written(together.drop("n").join(company, "node"), "members")
+    members = written(together.drop("n").join(company.join(nodes.select("node", "odd"), "node"), "node"), "members")
     discard(buckets, marks, together)
     return members
 
 
 def _candidates(members: DataFrame, roots: DataFrame | None, led: DataFrame | None, last: bool) -> tuple[DataFrame, DataFrame | None]:
-    """Pairs (a, b) of a round, and the leaders (key, node) of all rounds so far."""
+    """Pairs (a, b) of a round, and the leaders (key, node) of all rounds so far. ``members`` without odd bits are told apart by size."""
+    if "odd" not in members.columns:
+        members = members.withColumn("odd", F.lit(None).cast("array<long>"))
     if roots is None:
         named = members.withColumn("root", F.col("node"))
         free = named
@@ -171,9 +192,9 @@ def _candidates(members: DataFrame, roots: DataFrame | None, led: DataFrame | No
         free = named.where("root <> main").join(led, ["key", "node"], "left_anti")
     if last:
         return _distinct(_rest(named)), led
-    lead = free.groupBy("key").agg(F.max(F.struct("company", "node", "size", "root")).alias("l"))
-    lead = written(lead.select("key", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.root").alias("root_a")), "leads")
-    pairs = named.join(lead, "key").where("root <> root_a").where(_close("size_a", "size")).select("a", F.col("node").alias("b"))
+    lead = free.groupBy("key").agg(F.max(F.struct("company", "node", "size", "root", "odd")).alias("l"))
+    lead = written(lead.select("key", F.col("l.node").alias("a"), F.col("l.size").alias("size_a"), F.col("l.root").alias("root_a"), F.col("l.odd").alias("odd_a")), "leads")
+    pairs = named.join(lead, "key").where("root <> root_a").where(_close("size_a", "size")).where(_even("_a", "")).select("a", F.col("node").alias("b"))
     leaders = lead.select("key", F.col("a").alias("node"))
     return _distinct(pairs), leaders if led is None else led.unionByName(leaders)
 
@@ -187,14 +208,14 @@ def _rest(named: DataFrame) -> DataFrame:
     tiles = named.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
     dealt = named.join(tiles, "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
-    one = dealt.select("key", F.col("tile").alias("ta"), every.alias("tb"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"))
-    two = dealt.select("key", every.alias("ta"), F.col("tile").alias("tb"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    return one.join(two, ["key", "ta", "tb"]).where("a < b AND root_a <> root_b").where(_close("size_a", "size_b")).select("a", "b")
+    one = dealt.select("key", F.col("tile").alias("ta"), every.alias("tb"), F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a"), F.col("odd").alias("odd_a"))
+    two = dealt.select("key", every.alias("ta"), F.col("tile").alias("tb"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"), F.col("odd").alias("odd_b"))
+    return one.join(two, ["key", "ta", "tb"]).where("a < b AND root_a <> root_b").where(_close("size_a", "size_b")).where(_even("_a", "_b")).select("a", "b")
 
 
 def links(docs: DataFrame, sketched: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the nodes of all components of several, but the roots."""
-    head = F.min_by(F.struct("doc_id", "text_hash", "size", "fp", "bands"), F.struct("doc_id", "text_hash")).alias("h")
+    head = F.min_by(F.struct("doc_id", "text_hash", "size", "fp", "bands", "odd"), F.struct("doc_id", "text_hash")).alias("h")
     nodes = written(sketched.groupBy("node").agg(head).select("node", "h.*"), "nodes")
     members = _members(nodes)
     pairs, led = _candidates(members, None, None, rounds == 1)

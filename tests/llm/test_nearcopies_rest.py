@@ -2,6 +2,7 @@
 
 from forecourt.llm import nearcopies
 from tests.llm import cases
+from tests.llm.test_nearcopies import changed, similar
 
 
 def test_last_round_has_every_pair_of_components(spark):
@@ -24,3 +25,28 @@ def test_a_crowd_that_leaders_do_not_join(spark):
     sketched["fp"] = [i << 20 | 0x5555 << (i % 7) for i in range(len(sketched))]
     found = nearcopies.links(docs, nearcopies.written(spark.createDataFrame(sketched, nearcopies.SKETCH), "crowd"))
     assert found.count() == 24
+
+
+def test_pairs_of_a_crowd_below_the_threshold_are_not_made(spark):
+    """A group of texts mutually about 0.7 alike: the links are among the pairs, and hardly any other."""
+    base = cases.prose(150, 700)
+    texts = [changed(base, 1 + i % 6, 5000 + i) for i in range(400)]
+    sets = [nearcopies.shingles(t) for t in texts]
+    linked = {(i, j) for i, j in similar(list(enumerate(texts)))}
+    rows = [(1, bytes([i >> 8, i & 255]), len(s), 400, nearcopies.odd_bits(s)) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(rows, "key long, node binary, size int, company long, odd array<long>")
+    roots = spark.createDataFrame([(b"x", b"x")], "node binary, root binary")
+    led = spark.createDataFrame([], "key long, node binary")
+    pairs, _ = nearcopies._candidates(members, roots, led, True)
+    number = lambda node: node[0] << 8 | node[1]
+    made = {(number(r.a), number(r.b)) for r in pairs.collect()}
+    assert linked <= made and 0 < len(linked) and len(made) < len(linked) + 400 * 399 // 40
+
+
+def test_odd_bits_never_exclude_a_link():
+    for k in range(300):
+        text = cases.prose(20 + 7 * k, k)
+        other = changed(text, max(1, len(text.split()) // (30 + k % 60)), k)
+        a, b = nearcopies.shingles(text), nearcopies.shingles(other)
+        differing = sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(nearcopies.odd_bits(a), nearcopies.odd_bits(b)))
+        assert differing <= len(set(a.tolist()) ^ set(b.tolist()))
