@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from forecourt import constants as K
 from forecourt.functions.numbers import clip, finite
 from forecourt.functions.text import blank_to_null, strip
+from forecourt.session import stored
 
 TEXT = ("type", "scope", "name", "parent", "notes")
 NUMBERS = ("min", "max", "multiplier")
@@ -143,7 +144,11 @@ def composite(
 
 
 def demand_adjust(df: DataFrame, table: DataFrame, price: str | None = None, reg_state: str | None = None) -> DataFrame:
-    """All lookups and the composite; with ``price``, also the demand-adjusted price."""
+    """All lookups and the composite; with ``price``, also the demand-adjusted price.
+
+    The table is stored once: every lookup reads it, and its size is known before the rows of ``df`` would be shuffled to meet it.
+    """
+    table = stored(table, "multipliers")
     out = composite(bucket_lookups(flat_lookups(hierarchy(df, table), table, reg_state), table))
     return out.withColumn("adjusted_price", F.col(price) * F.col("composite")) if price else out
 
